@@ -123,7 +123,8 @@ def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phr
             share = np.zeros(len(n))
             at = np.flatnonzero(lib.keys[np.minimum(np.searchsorted(lib.keys, h), len(lib.keys) - 1)] == h)
             tried: set[tuple[int, int, int]] = set()
-                for i in at.tolist():
+            sets: dict[tuple[int, int], set[int]] = {}
+            for i in at.tolist():
                 d = int(doc[i])
                 rel, size = i - int(w.bounds[d]), int(n[d])
                 for b in {max(0, rel // step - 1), rel // step}:
