@@ -52,15 +52,16 @@ class Words:
     bounds: np.ndarray  # words of text i: bounds[i] .. bounds[i + 1]
     starts: np.ndarray  # byte where the word starts, over all texts end to end
     ends: np.ndarray
+    heads: list[np.ndarray]  # hashes of the words' first bytes, for each length asked for
 
 
-def words(col: pa.Array, kind: np.ndarray = ALNUM) -> Words:
+def words(col: pa.Array, kind: np.ndarray = ALNUM, heads: tuple[int, ...] = ()) -> Words:
     """Lower-cased (A-Z) words of each text, as 64-bit hashes in order."""
     data, off = raw(col)
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
-        return Words(np.zeros(0, np.uint64), np.zeros(len(off), np.int64), z, z)
+        return Words(np.zeros(0, np.uint64), np.zeros(len(off), np.int64), z, z, [np.zeros(0, np.uint64) for _ in heads])
     inside = kind[data]
     edge = np.zeros(n + 1, bool)
     edge[off] = True
@@ -69,9 +70,13 @@ def words(col: pa.Array, kind: np.ndarray = ALNUM) -> Words:
     after = np.concatenate([inside[1:], [False]])
     ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODE[data] * _power(_P, n), dtype=np.uint64)])
-    h = (sums[ends] - sums[starts]) * _power(_Q, n)[starts]
-    h ^= (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return Words(mix(h), np.searchsorted(starts, off).astype(np.int64), starts, ends)
+    back = _power(_Q, n)[starts]
+
+    def hashed(to: np.ndarray) -> np.ndarray:
+        return mix((sums[to] - sums[starts]) * back ^ (to - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    first = [hashed(np.minimum(starts + k, ends)) for k in heads]
+    return Words(hashed(ends), np.searchsorted(starts, off).astype(np.int64), starts, ends, first)
 
 
 def word_hash(word: str) -> np.uint64:

@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, neardup
+from . import decontam, licenses, neardup, pii, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The remainder of crc32(doc_id) that training never sees.
+_HELD_OUT = F.expr("crc32(cast(doc_id as string)) % 3 = 1")
+
+
+def _spans(col: str) -> Column:
+    return F.concat_ws(",", F.transform(col, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.sanitise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = [F.expr(f"size(filter(base, x -> x.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("row.doc_id", *count, F.sha2(_spans("base"), 256).alias("base_sha256"), _spans("spans").alias("spans"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -24,6 +38,13 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.split(documents, _table(spark, sf_dir, "labels"), "toxic"))
+    found = toxicity.score(documents, model)
+    return found.select("doc_id", _HELD_OUT.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), k=5, percent=85)
 
@@ -44,7 +65,9 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op2_pii": op2_pii,
         "op3_decontaminate": op3_decontaminate,
+        "op4_toxicity": op4_toxicity,
         "op7_near_duplicates": op7_near_duplicates,
         "op10_license_scan": op10_license_scan,
     }
