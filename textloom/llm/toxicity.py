@@ -3,7 +3,7 @@
 Words fall into a fixed number of hash buckets, so the model has one size however large the vocabulary grows. From
 labelled documents each bucket gets the log-odds of toxic against clean text under a Dirichlet prior that follows the
 corpus (the words of all training texts together), shrunk by its standard error. A text counts once for each bucket. A
-word speaks through the strongest of itself and its first 6 and 8 bytes (stems); one that repeats the word before it
+word speaks through the strongest of itself and its first 5 and 7 bytes (stems); one that repeats the word before it
 says nothing new. Documents are scored as sequences:
 the scan of Ruzzo and Tompa finds every maximal-scoring segment in linear time. Scores of segments in clean text follow
 an extreme-value law, P(S >= x) = 1 - exp(-K n exp(-lambda x)), with lambda the positive root of
@@ -36,14 +36,14 @@ TRAIN_DOCS = 20_000
 #: Total prior count; each bucket gets the share that it has of all training words.
 PRIOR = 2_000.0
 #: A word's log-odds is lowered by so many standard errors (towards the background) before it can speak for toxicity.
-SHRINK = 2.0
+SHRINK = 2.5
 #: What each word of no evidence costs a segment.
 DRIFT = -0.4
 SIGNIFICANCE = 0.01
 
 
 #: Bytes of a word's head that are tokens of their own.
-HEADS = (6, 8)
+HEADS = (5, 7)
 
 
 @dataclass
