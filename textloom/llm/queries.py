@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, neardup, pii, toxicity
+from . import decontam, licenses, neardup, packing, pii, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,12 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), k=5, percent=85)
 
 
+def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(_table(spark, sf_dir, "documents"))
     return found.select(
@@ -69,6 +75,7 @@ def queries() -> dict:
         "op3_decontaminate": op3_decontaminate,
         "op4_toxicity": op4_toxicity,
         "op7_near_duplicates": op7_near_duplicates,
+        "op8_pack": op8_pack,
         "op10_license_scan": op10_license_scan,
     }
 
