@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, neardup, packing, pii, toxicity
+from . import decontam, langid, licenses, neardup, packing, phrases, pii, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _HELD_OUT.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.neighbours(_table(spark, sf_dir, "documents"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), k=5, percent=85)
 
@@ -55,6 +59,13 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    held_out = F.expr("crc32(cast(doc_id as string)) % 4 = 2")
+    found = langid.identify(documents, langid.training_text(documents, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(_table(spark, sf_dir, "documents"))
     return found.select(
@@ -74,8 +85,10 @@ def queries() -> dict:
         "op2_pii": op2_pii,
         "op3_decontaminate": op3_decontaminate,
         "op4_toxicity": op4_toxicity,
+        "op6_fingerprints": op6_fingerprints,
         "op7_near_duplicates": op7_near_duplicates,
         "op8_pack": op8_pack,
+        "op9_language": op9_language,
         "op10_license_scan": op10_license_scan,
     }
 
