@@ -6,11 +6,11 @@ earlier round, a document is done after the first round in which all its slots h
 sets need one round, small ones a few. Slots of one element are correlated, which lowers the estimate's variance.
 
 Documents with equal shingle sets are one class, and only its smallest id goes on. Signatures of 32 bands of 4 slots
-put two sets of similarity 0.85 in no common bucket with probability (1 - 0.85^4)^32 = 6e-11. Within buckets no group
-is gathered and no pairs of linked members are listed: each bucket compares its members with one leader, verified
-links are merged, and only buckets whose members are still in different components go on, with another leader each
-round. When the pairs between different components that are left are no more than a few for each document, they are
-compared one by one, so the result has every link that shares a bucket.
+put two sets of similarity 0.85 in no common bucket with probability (1 - 0.85^4)^32 = 6e-11. Shingles that only one candidate has bound what it can
+share with any other, which rules out most pairs by numbers alone. While buckets hold more than a few pairs for each
+document, no pairs are listed: each bucket compares its members with one leader, verified links are merged, and only
+buckets whose members are still in different components go on, with another leader each round. The pairs between
+different components that are left then are compared one by one, so the result has every link that shares a bucket.
 
 Defined results: null text and text without words: no shingles, linked with nothing, kept. Rows that repeat a doc_id
 are one node. A row without doc_id is never a representative. Only ``doc_id`` and ``text`` are read.
@@ -31,7 +31,7 @@ from ._words import SPACED, mix, ranges, shingles, words
 
 BANDS, ROWS = 32, 4
 #: Untested pairs between components, for each class of documents, that are few enough to compare one by one.
-FEW_PAIRS = 4
+FEW_PAIRS = 16
 
 
 def superminhash(h: np.ndarray, bounds: np.ndarray, m: int) -> np.ndarray:
@@ -165,13 +165,18 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 85, bands:
     total = classes.count()
     spread = classes.select("rep", "n", F.explode("buckets").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("bucket")
-    members = materialise(spread.join(shared, "bucket"), "members")
+    members = spread.join(shared, "bucket")
     named = materialise(members.select(F.col("rep").alias("doc_id")).distinct(), "named")
     sets = materialise(shingle_sets(documents.join(named, "doc_id", "left_semi"), k).dropDuplicates(["doc_id"]), "sets")
-
-    fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+    # Shingles that no other candidate has can't be common: a pair shares at most the lesser rest of the two.
+    lone = sets.select("doc_id", F.explode("shingles").alias("x")).groupBy("x").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")).where("n = 1")
+    lone = materialise(lone.groupBy("rep").agg(F.count("*").alias("u")), "lone")
+    placed = members.join(lone, "rep", "left").select("bucket", "rep", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s"), F.col("rep").alias("component"))
+    placed = materialise(placed.where(f"100 * s >= {percent} * n"), "placed")
+
+    fits = f"100 * least(sa, sb) >= {percent} * (na + nb - least(sa, sb))"
+    one = ["bucket", "a", "na", "sa", "ca"], ["bucket", "b", "nb", "sb", "cb"]
     links = tested = None
-    placed = members.withColumn("component", F.col("rep"))
     turn = 0
     while True:
         count = placed.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"), F.count("*").alias("c"))
@@ -180,27 +185,27 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 85, bands:
         if not pairs:
             break
         placed = materialise(placed.join(unsettled.select("bucket"), "bucket", "left_semi"), "placed")
-        last = turn > 0 and pairs <= FEW_PAIRS * max(total, 1000)
+        last = pairs <= FEW_PAIRS * max(total, 1000)
         if last:
-            other = placed.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-            both = placed.select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")).join(other, "bucket").where("ca < cb")
+            both = placed.toDF(*one[0]).join(placed.toDF(*one[1]), "bucket").where(f"ca < cb and {fits}")
         else:
-            order = F.struct((F.col("rep") if not turn else F.xxhash64("rep", F.lit(turn))).alias("o"), "rep", "n", "component")
-            lead = placed.groupBy("bucket").agg(F.min(order).alias("x")).select("bucket", F.col("x.rep").alias("b"), F.col("x.n").alias("nb"), F.col("x.component").alias("cb"))
-            both = placed.select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")).join(lead, "bucket").where("ca <> cb")
-        ask = both.where(fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+            # First the member with the least of its own: near copies of one text are likest to it. Then any other.
+            rank = F.col("s") / F.col("n") * -1 if not turn else F.xxhash64("rep", F.lit(turn)).cast("double")
+            lead = placed.groupBy("bucket").agg(F.min(F.struct(rank.alias("o"), "rep", "n", "s", "component")).alias("x")).select("bucket", "x.rep", "x.n", "x.s", "x.component").toDF(*one[1])
+            both = placed.toDF(*one[0]).join(lead, "bucket").where(f"ca <> cb and {fits}")
+        ask = both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         if tested is not None:
             ask = ask.join(tested, ["a", "b"], "left_anti")
         ask = materialise(ask, "pairs")
-        seen = ask.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        found = materialise(seen.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb") - common).alias("u")).where(f"100 * i >= {percent} * u").select("a", "b"), "links")
+        seen = ask.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
+        common = F.size(F.array_intersect("xa", "xb"))
+        found = materialise(seen.select("a", "b", common.alias("i"), (F.size("xa") + F.size("xb") - common).alias("u")).where(f"100 * i >= {percent} * u").select("a", "b"), "links")
         tested = ask if tested is None else tested.union(ask)
         links = found if links is None else links.union(found)
         if last:
             break
         linked = materialise(components(links), "components")
-        placed = placed.drop("component").join(linked.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        placed = placed.drop("component").join(linked.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).select("bucket", "rep", "n", "s", "component")
         turn += 1
     grouped = classes.select("set_key", "rep")
     if links is not None:
