@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, neardup, packing, phrases, pii, toxicity
+from . import decontam, langid, licenses, neardup, packing, phrases, pii, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.expr(_HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    found = quality.score(documents, quality.fit(documents, _table(spark, sf_dir, "labels"), "quality"))
+    return found.select("doc_id", F.expr(_HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.neighbours(_table(spark, sf_dir, "documents"))
 
@@ -85,6 +91,7 @@ def queries() -> dict:
         "op2_pii": op2_pii,
         "op3_decontaminate": op3_decontaminate,
         "op4_toxicity": op4_toxicity,
+        "op5_quality": op5_quality,
         "op6_fingerprints": op6_fingerprints,
         "op7_near_duplicates": op7_near_duplicates,
         "op8_pack": op8_pack,
