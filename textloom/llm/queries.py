@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, neardup, packing, phrases, pii, quality, toxicity
+from . import decontam, langid, licenses, neardup, packing, phrases, pii, quality, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def _spans(col: str) -> Column:
     return F.concat_ws(",", F.transform(col, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.read_back(*warc.archive(_table(spark, sf_dir, "pages")))
+    return found.drop("urlkey")
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.sanitise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = [F.expr(f"size(filter(base, x -> x.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in pii.KINDS]
@@ -88,6 +93,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_warc": op1_warc,
         "op2_pii": op2_pii,
         "op3_decontaminate": op3_decontaminate,
         "op4_toxicity": op4_toxicity,
@@ -100,5 +106,31 @@ def queries() -> dict:
     }
 
 
+_OP1_SQL = """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest, url from pages),
+g as (select payload_digest, max(page_id) as answer from p where payload_bytes >= 1000 group by payload_digest)
+select page_id, payload_bytes, p.payload_digest,
+  case when answer is not null and page_id is distinct from answer then 'revisit' else 'response' end as record_type,
+  case when answer is not null and page_id is distinct from answer then answer end as refers_to
+from p left join g on p.payload_digest = g.payload_digest and payload_bytes >= 1000
+"""
+
+#: Windows of ten words are compared as joined strings; shorter items are one window of their own length.
+_OP3_SQL = r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select distinct item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where text is not null and item_id is not null),
+win as (select distinct item_id, least(len(w), 10) as n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as s
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from b where len(w) > 0)),
+sizes as (select distinct n from win),
+spots as (select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as s from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, sizes where len(w) >= n)),
+hits as (select doc_id, item_id, i, spots.n from spots join win on spots.s = win.s and spots.n = win.n),
+words as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hits) group by doc_id),
+items as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as names from hits group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join words using (doc_id) left join items using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": _OP1_SQL, "op3_decontaminate": _OP3_SQL}
