@@ -129,12 +129,13 @@ class Languages:
             at = [x[first[:k] + t].astype(np.int32) for t, k in zip(steps.tolist(), lanes.tolist(), strict=True)]
             for i, table in enumerate(self.tables):
                 root = table[: self.width]
-                state, count = np.zeros(len(doc), np.int32), np.ones(len(doc), np.int32)
+                state, count = np.zeros(len(doc), np.int32), np.zeros(len(doc), np.int32)
                 for c in at:
                     k = len(c)
                     to = table[state[:k] * self.width + c]
                     miss = to == 0
-                    count[:k] += miss
+                    # A phrase begins where the last one can't go on, and at the root.
+                    count[:k] += miss | (state[:k] == 0)
                     state[:k] = np.where(miss, root[c], to)
                 phrases[:, i] = np.bincount(doc, count, len(texts))
         return phrases * np.array(self.bits) / np.maximum(n, 1)[:, None]

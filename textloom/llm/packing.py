@@ -106,13 +106,13 @@ def token_ids(col: pa.Array, known: _Ids) -> tuple[np.ndarray, np.ndarray]:
     start = black & np.concatenate([[True], ~black[:-1]]) | black & edge[:-1]
     chunk = np.cumsum(start) - 1
     first = np.flatnonzero(start)
+    if not len(first):
+        return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
     whole = np.zeros(len(first), bool)
     whole[chunk[kind == 4]] = True
     cut = np.concatenate([[True], (kind[1:] != kind[:-1]) | (kind[1:] == 2)]) & black
     unit = start | cut & ~whole[np.maximum(chunk, 0)]
     a = np.flatnonzero(unit)
-    if not len(a):
-        return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
     # A unit ends where the next begins, or at white space or the text's end before that.
     stop = np.flatnonzero(~black | edge[:-1])
     stop = np.append(stop, n)

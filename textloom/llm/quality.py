@@ -43,9 +43,10 @@ class Net:
     mix: tuple[float, float, float] = (1.0, 0.0, 0.0)  # of mean, least, 1
 
     def tables(self) -> list[np.ndarray]:
-        """Responses of byte pairs at offsets 0, 2, 4 (65536 x FILTERS each)."""
+        """Responses of byte pairs at offsets 0, 2, 4 (65536 x FILTERS each), for positions without a flag."""
         w = self.filters.reshape(WIDTH, VECTOR, FILTERS)
         one = [(self.vectors @ w[i]).astype(np.float32) for i in range(WIDTH)]
+        one[0] += self.flags[0].astype(np.float32)
         # A pair is read as a little-endian 16-bit number: its first byte is the low one.
         return [(one[i + 1][:, None, :] + one[i][None, :, :]).reshape(65536, FILTERS) for i in range(0, WIDTH, 2)]
 
@@ -71,6 +72,7 @@ def chunk_logits(net: Net, tables: list[np.ndarray], col: pa.Array) -> tuple[np.
     data, off = raw(col)
     flag = repeat_flags(col, len(data))
     n = np.diff(off)
+    raised = (net.flags - net.flags[0]).astype(np.float32)
     half = CHUNK // 2
     halves = np.maximum(-(-n // half), 1)
     pooled = np.full((int(halves.sum()), FILTERS), -np.inf, np.float32)
@@ -88,7 +90,7 @@ def chunk_logits(net: Net, tables: list[np.ndarray], col: pa.Array) -> tuple[np.
             r += tables[2][pair[4 : size + 4]]
             f = flag[off[d] + first : off[d] + first + size]
             if f.any():
-                r[: len(f)] += net.flags[f]
+                r[: len(f)] += raised[f]
             k = at[d] + first // half
             best = np.maximum.reduceat(r, np.arange(0, size, half))
             pooled[k : k + len(best)] = best
