@@ -7,10 +7,11 @@ sets need one round, small ones a few. Slots of one element are correlated, whic
 
 Documents with equal shingle sets are one class, and only its smallest id goes on. Signatures of 32 bands of 4 slots
 put two sets of similarity 0.85 in no common bucket with probability (1 - 0.85^4)^32 = 6e-11. Shingles that only one candidate has bound what it can
-share with any other, which rules out most pairs by numbers alone. While buckets hold more than a few pairs for each
-document, no pairs are listed: each bucket compares its members with one leader, verified links are merged, and only
-buckets whose members are still in different components go on, with another leader each round. The pairs between
-different components that are left then are compared one by one, so the result has every link that shares a bucket.
+share with any other, which rules out most pairs by numbers alone. At first no pairs of members are listed: each
+bucket compares its members with one leader, verified links are merged, and only buckets whose members are still in
+different components go on. That is repeated with other leaders while it finds links and many pairs are left. The pairs
+between different components that are left then are compared one by one, each in one bucket only, so the result has
+every link that shares a bucket.
 
 Defined results: null text and text without words: no shingles, linked with nothing, kept. Rows that repeat a doc_id
 are one node. A row without doc_id is never a representative. Only ``doc_id`` and ``text`` are read.
@@ -30,7 +31,7 @@ from ._shared import column, materialise, slices
 from ._words import SPACED, mix, ranges, shingles, words
 
 BANDS, ROWS = 32, 4
-#: Untested pairs between components, for each class of documents, that are few enough to compare one by one.
+#: Pairs in buckets, for each class of documents, that are few enough to compare one by one.
 FEW_PAIRS = 16
 
 
@@ -177,7 +178,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 85, bands:
     fits = f"100 * least(sa, sb) >= {percent} * (na + nb - least(sa, sb))"
     one = ["bucket", "a", "na", "sa", "ca"], ["bucket", "b", "nb", "sb", "cb"]
     links = tested = None
-    turn = 0
+    turn, helped = 0, True
     while True:
         count = placed.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"), F.count("*").alias("c"))
         unsettled = materialise(count.where("c > 1"), "unsettled")
@@ -185,15 +186,20 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 85, bands:
         if not pairs:
             break
         placed = materialise(placed.join(unsettled.select("bucket"), "bucket", "left_semi"), "placed")
-        last = pairs <= FEW_PAIRS * max(total, 1000)
+        last = turn > 0 and (not helped or pairs <= FEW_PAIRS * max(total, 1000))
         if last:
-            both = placed.toDF(*one[0]).join(placed.toDF(*one[1]), "bucket").where(f"ca < cb and {fits}")
+            # Two documents may share many buckets; they meet in the first of those only.
+            keys = classes.select("rep", "buckets")
+            left = placed.toDF(*one[0]).join(keys.toDF("a", "ka"), "a")
+            right = placed.toDF(*one[1]).join(keys.toDF("b", "kb"), "b")
+            first = "element_at(filter(zip_with(ka, kb, (x, y) -> if(x = y, x, null)), x -> x is not null), 1) = bucket"
+            ask = left.join(right, "bucket").where(f"ca < cb and {fits} and {first}").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         else:
             # First the member with the least of its own: near copies of one text are likest to it. Then any other.
             rank = F.col("s") / F.col("n") * -1 if not turn else F.xxhash64("rep", F.lit(turn)).cast("double")
             lead = placed.groupBy("bucket").agg(F.min(F.struct(rank.alias("o"), "rep", "n", "s", "component")).alias("x")).select("bucket", "x.rep", "x.n", "x.s", "x.component").toDF(*one[1])
             both = placed.toDF(*one[0]).join(lead, "bucket").where(f"ca <> cb and {fits}")
-        ask = both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+            ask = both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         if tested is not None:
             ask = ask.join(tested, ["a", "b"], "left_anti")
         ask = materialise(ask, "pairs")
@@ -201,6 +207,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 85, bands:
         common = F.size(F.array_intersect("xa", "xb"))
         found = materialise(seen.select("a", "b", common.alias("i"), (F.size("xa") + F.size("xb") - common).alias("u")).where(f"100 * i >= {percent} * u").select("a", "b"), "links")
         tested = ask if tested is None else tested.union(ask)
+        helped = not found.isEmpty()
         links = found if links is None else links.union(found)
         if last:
             break
