@@ -11,26 +11,26 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def diff(old: Column | str, new: Column | str) -> Column:
-    """prefix (equal lines first), removed, inserted (lines), suffix (equal lines last): one operation in the middle."""
-    a, b = T.lines(old), T.lines(new)
-    least = F.least(F.size(a), F.size(b))
+def _common(x: str, y: str, most: Column) -> Column:
+    """How many of the first ``most`` items of two array columns are equal from the start."""
+    same = F.zip_with(F.slice(x, F.lit(1), F.greatest(most, F.lit(1))), F.slice(y, F.lit(1), F.greatest(most, F.lit(1))), lambda p, q: p == q)
+    at = F.array_position(same, F.lit(False))
+    return F.when(most <= 0, F.lit(0)).when(at == 0, most).otherwise(at - 1).cast("int")
 
-    def common(x: Column, y: Column, most: Column) -> Column:
-        # The first place where both differ, else all of them.
-        flags = F.transform(F.arrays_zip(F.slice(x, F.lit(1), most).alias("p"), F.slice(y, F.lit(1), most).alias("q")), lambda z: z["p"] == z["q"])
-        at = F.array_position(flags, F.lit(False))
-        return F.when(most == 0, F.lit(0)).otherwise(F.when(at == 0, most).otherwise(at - 1)).cast("int")
 
-    prefix = F.when(least == 0, F.lit(0)).otherwise(common(a, b, F.greatest(least, F.lit(1))))
-    left = least - prefix
-    suffix = F.when(left <= 0, F.lit(0)).otherwise(common(F.reverse(a), F.reverse(b), F.greatest(left, F.lit(1))))
-    inserted = F.slice(b, prefix + 1, F.greatest(F.size(b) - prefix - suffix, F.lit(0)))
-    return F.struct(prefix.alias("prefix"), (F.size(a) - prefix - suffix).alias("removed"), inserted.alias("inserted"), suffix.alias("suffix"))
+def with_diff(rows: DataFrame, old: str, new: str, name: str = "d") -> DataFrame:
+    """Adds a struct of prefix (equal lines first), removed, inserted (lines), suffix (equal lines last): one operation
+    in the middle turns ``old`` into ``new``. Each part is a column of its own, so none is worked out twice."""
+    x = rows.withColumn("_a", T.lines(old)).withColumn("_b", T.lines(new)).withColumn("_n", F.least(F.size("_a"), F.size("_b")))
+    x = x.withColumn("_p", _common("_a", "_b", F.col("_n")))
+    x = x.withColumn("_ra", F.reverse("_a")).withColumn("_rb", F.reverse("_b")).withColumn("_s", _common("_ra", "_rb", F.col("_n") - F.col("_p")))
+    added = F.slice("_b", F.col("_p") + 1, F.greatest(F.size("_b") - F.col("_p") - F.col("_s"), F.lit(0)))
+    change = F.struct(F.col("_p").alias("prefix"), (F.size("_a") - F.col("_p") - F.col("_s")).alias("removed"), added.alias("inserted"), F.col("_s").alias("suffix"))
+    return x.withColumn(name, change).drop("_a", "_b", "_n", "_p", "_ra", "_rb", "_s")
 
 
 def patch(old: Column | str, change: Column) -> Column:
-    """The lines that ``diff`` led to."""
+    """The lines that a change of ``with_diff`` leads to."""
     a = T.lines(old)
     return F.concat(F.slice(a, F.lit(1), change["prefix"]), change["inserted"], F.slice(a, change["prefix"] + change["removed"] + 1, F.greatest(change["suffix"], F.lit(0))))
 
@@ -41,8 +41,8 @@ def versions(rows: DataFrame, path: str, order: str, text: str = "text") -> Data
     before = F.lag(text).over(w)
     out = rows.withColumn("version", F.row_number().over(w)).withColumn("before", before).withColumn("hash", T.content_hash(text))
     kind = F.when(F.col("before").isNull(), "full").when(T.content_hash("before") == F.col("hash"), "unchanged").otherwise("delta")
-    d = diff("before", text)
-    return out.withColumn("kind", kind).withColumn("d", F.when(F.col("kind") == "delta", d)).select(path, order, "version", "hash", "kind", F.col("d.prefix"), F.col("d.removed"), F.size("d.inserted").alias("inserted"), F.col("d.suffix"))
+    out = with_diff(out.withColumn("kind", kind), "before", text).withColumn("d", F.when(F.col("kind") == "delta", F.col("d")))
+    return out.select(path, order, "version", "hash", "kind", F.col("d.prefix"), F.col("d.removed"), F.size("d.inserted").alias("inserted"), F.col("d.suffix"))
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, state: list[str]) -> DataFrame:
@@ -61,8 +61,8 @@ def read_delta(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
     got = requests.join(newest, "path", "left").join(known, ["path", "known_version"], "left")
     same = (T.content_hash("current") == F.col("known_hash")) | (F.col("known_version") == F.col("now"))
     kind = F.when(F.col("now").isNull(), "missing").when(F.coalesce(same, F.lit(False)), "unchanged").when(F.col("base").isNotNull(), "delta").otherwise("full")
-    got = got.withColumn("kind", kind)
-    return got.select("path", "known_version", F.col("now").alias("version"), "kind", F.when(kind == "full", F.col("current")).alias("content"), F.when(kind == "delta", diff("base", "current")).alias("change"))
+    got = with_diff(got.withColumn("kind", kind), "base", "current")
+    return got.select("path", "known_version", F.col("now").alias("version"), "kind", F.when(F.col("kind") == "full", F.col("current")).alias("content"), F.when(F.col("kind") == "delta", F.col("d")).alias("change"))
 
 
 def write_delta(edits: DataFrame, snapshots: DataFrame) -> DataFrame:

@@ -35,13 +35,14 @@ def customers_without_orders(spark: SparkSession, sf: str) -> DataFrame:
 
 def tumbling_stats(spark: SparkSession, sf: str) -> DataFrame:
     w = F.window("ts", "1 day")
-    return _t(spark, sf, "events").groupBy(w.start.alias("day") if hasattr(w, "start") else w["start"].alias("day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return _t(spark, sf, "events").groupBy(w["start"].alias("day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 def sessions(spark: SparkSession, sf: str) -> DataFrame:
     """Runs of a user's events with gaps of 30 minutes at most."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.col("ts").cast("double") - F.lag("ts").over(w).cast("double")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    gap = (at - F.lag(at).over(w)) / 1e6
     e = _t(spark, sf, "events").withColumn("new", F.when(gap.isNull() | (gap > 1800), 1).otherwise(0))
     s = e.withColumn("session", F.sum("new").over(w))
     return s.groupBy("user_id", "session").agg(F.count("*").alias("events"), F.min("ts").alias("began"))
