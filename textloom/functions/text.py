@@ -150,8 +150,8 @@ def dependencies(c: Column | str) -> Column:
 def complexity(c: Column | str) -> Column:
     """simple, medium or complex by token and sign counts and cues of several steps."""
     tokens, signs = count_tokens(c), F.regexp_count(col(c), F.lit(r"[,;:?!]"))
-    cues = F.lower(col(c)).rlike(r"(?U)\b(then|after that|step by step|first|finally|compare|and also)\b")
-    return F.when((tokens > 80) | (signs >= 4) | cues, "complex").when((tokens <= 20) & (signs <= 1), "simple").otherwise("medium")
+    steps = contains_any(F.lower(col(c)), [" then ", "after that", "step by step", "compare", "tradeoff", "architecture"])
+    return F.when((tokens > 80) | (signs >= 4) | steps, "complex").when((tokens <= 20) & (signs <= 1), "simple").otherwise("medium")
 
 
 def entities(c: Column | str, stop: list[str], most: int = 40) -> Column:
