@@ -31,8 +31,9 @@ from ._shared import column, materialise, slices
 from ._words import SPACED, mix, ranges, shingles, words
 
 BANDS, ROWS = 32, 4
-#: Pairs in buckets, for each class of documents, that are few enough to compare one by one.
-FEW_PAIRS = 16
+#: Pairs in buckets, for each class of documents, that are few enough to compare one by one: by numbers first, and
+#: by sets only where those allow a link.
+FEW_PAIRS = 256
 
 
 def superminhash(h: np.ndarray, bounds: np.ndarray, m: int) -> np.ndarray:
@@ -177,7 +178,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 85, bands:
 
     fits = f"100 * least(sa, sb) >= {percent} * (na + nb - least(sa, sb))"
     one = ["bucket", "a", "na", "sa", "ca"], ["bucket", "b", "nb", "sb", "cb"]
-    links = tested = None
+    linked = tested = None
     turn, helped = 0, True
     while True:
         count = placed.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"), F.count("*").alias("c"))
@@ -189,9 +190,8 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 85, bands:
         last = turn > 0 and (not helped or pairs <= FEW_PAIRS * max(total, 1000))
         if last:
             # Two documents may share many buckets; they meet in the first of those only.
-            keys = classes.select("rep", "buckets")
-            left = placed.toDF(*one[0]).join(keys.toDF("a", "ka"), "a")
-            right = placed.toDF(*one[1]).join(keys.toDF("b", "kb"), "b")
+            whole = placed.join(classes.select("rep", "buckets"), "rep").select(*placed.columns, "buckets")
+            left, right = whole.toDF(*one[0], "ka"), whole.toDF(*one[1], "kb")
             first = "element_at(filter(zip_with(ka, kb, (x, y) -> if(x = y, x, null)), x -> x is not null), 1) = bucket"
             ask = left.join(right, "bucket").where(f"ca < cb and {fits} and {first}").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         else:
@@ -208,15 +208,20 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 85, bands:
         found = materialise(seen.select("a", "b", common.alias("i"), (F.size("xa") + F.size("xb") - common).alias("u")).where(f"100 * i >= {percent} * u").select("a", "b"), "links")
         tested = ask if tested is None else tested.union(ask)
         helped = not found.isEmpty()
-        links = found if links is None else links.union(found)
+        if helped:
+            # Components so far are edges to their smallest members.
+            edges = found if linked is None else found.union(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b"))
+            linked = materialise(components(edges), "components")
         if last:
             break
-        linked = materialise(components(links), "components")
+        if linked is None:
+            turn += 1
+            continue
         placed = placed.drop("component").join(linked.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).select("bucket", "rep", "n", "s", "component")
         turn += 1
     grouped = classes.select("set_key", "rep")
-    if links is not None:
-        grouped = grouped.join(components(links).toDF("rep", "component"), "rep", "left")
+    if linked is not None:
+        grouped = grouped.join(linked.toDF("rep", "component"), "rep", "left")
         grouped = grouped.select("set_key", F.coalesce("component", "rep").alias("component"))
     else:
         grouped = grouped.select("set_key", F.col("rep").alias("component"))
