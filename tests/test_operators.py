@@ -260,3 +260,21 @@ def test_windowed_stats(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     assert stream.windowed_stats(events).agg(F.sum("n")).first()[0] == events.count()
     assert stream.session_stats(events).agg(F.sum("events")).first()[0] == events.count()
+
+
+# Queries and commands
+
+
+def test_expressions_over_queries_and_commands(spark):
+    from textloom.functions import asking
+
+    q = spark.createDataFrame([(1, "my dog and Cat"), (2, "compare them"), (3, "why"), (4, "did Anna meet Boris")], "id int, q string")
+    got = {r.id: r for r in q.select("id", asking.expand("q").alias("x"), asking.several_hops("q").alias("h")).collect()}
+    assert got[1].x == "my dog and Cat pet puppy retriever breed kitten feline" and got[3].x == "why"
+    assert [got[i].h for i in (2, 3, 4)] == [True, False, True]
+    c = spark.createDataFrame([("git status",), ("git log | head",), ("make all",), ("kubectl get x",)], "c string")
+    rows = c.select("c", asking.command_family("c").alias("f"), asking.wrap("c").alias("w")).collect()
+    assert [r.f for r in rows] == ["git", "git", "build", "docker"]
+    assert rows[0].w.rule == "git_status" and rows[0].w.command.endswith("exec -- git status") and rows[1].w.rule is None
+    assert asking.register(spark)[0] == "tl_normal_line"
+    assert tuple(spark.sql("select tl_tokens('abcde fg!'), tl_words('A b'), tl_normal_line(' x 12 ')").first()) == (4, ["a", "b"], "x <N>")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.rules import RULE_TOPICS
+from ..operators import chunks
 from ..operators import memory as M
+from ..streaming.memory import rolling_summary_batch
 
 
 def _c(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,7 +59,22 @@ def compress_history(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("conv_id", F.length("summary").alias("summary_chars"), F.size("facts").alias("facts"), F.size("recent").alias("recent"), "original_count", "token_count")
 
 
-QUERIES = {f.__name__: f for f in (recent_window, heuristic_summary, last_turns, keyword_index, token_stats, turn_blocks, topic_clusters, topic_breaks, compress_history)}
+def rolling_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """The batch twin of the streaming operator, with a threshold that conversations of eight turns reach."""
+    return rolling_summary_batch(_c(spark, sf), threshold=4, recent=1, floor=2)
+
+
+def message_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return chunks.chunk_messages(_c(spark, sf)).select("conv_id", "turn", "pos", "chunk_id", "kind", "tokens", "times")
+
+
+def conversation_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts of user turns, of which the invented texts hold few; the count of messages comes with each conversation."""
+    said = M.facts(_c(spark, sf)).groupBy("conv_id").agg(F.count("*").alias("facts"))
+    return _c(spark, sf).groupBy("conv_id").agg(F.count("*").alias("messages")).join(said, "conv_id", "left").select("conv_id", "messages", F.coalesce("facts", F.lit(0)).alias("facts"))
+
+
+QUERIES = {f.__name__: f for f in (recent_window, heuristic_summary, last_turns, keyword_index, token_stats, turn_blocks, topic_clusters, topic_breaks, compress_history, rolling_summary, message_chunks, conversation_facts)}
 
 _ROLE = "case when lower(trim(role)) in ('assistant', 'system') then lower(trim(role)) else 'user' end"
 _SENT = "substr(trim(regexp_extract(text, '^[^.!?]*', 0), ' '), 1, 200)"

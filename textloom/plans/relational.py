@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import deltas
+from ..operators import deltas, graph
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -75,7 +75,15 @@ def touching_facts(spark: SparkSession, sf: str) -> DataFrame:
     return c.where("s = 3").union(s.where("s = 3")).dropDuplicates(["s", "o"])
 
 
-QUERIES = {f.__name__: f for f in (pricing_summary, region_revenue, top_orders, customers_without_orders, tumbling_stats, sessions, newest_events, user_sets, image_tokens, touching_facts)}
+def trade_rank(spark: SparkSession, sf: str) -> DataFrame:
+    """PageRank of nations over edges from a customer's nation to the nations of suppliers of its orders' parts."""
+    o = _t(spark, sf, "orders").join(_t(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").alias("src"))
+    s = _t(spark, sf, "lineitem").join(_t(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), F.col("s_nationkey").alias("dst"))
+    edges = o.join(s, "o_orderkey").select("src", "dst")
+    return graph.pagerank(_t(spark, sf, "nation").select(F.col("n_nationkey").alias("node")), edges, rounds=10).select("node", F.round("rank", 6).alias("rank"))
+
+
+QUERIES = {f.__name__: f for f in (pricing_summary, region_revenue, top_orders, customers_without_orders, tumbling_stats, sessions, newest_events, user_sets, image_tokens, touching_facts, trade_rank)}
 
 SQL = {
     "pricing_summary": "select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) as sum_disc_price, round(avg(l_discount), 6) as avg_disc, count(*) as count_order from lineitem where l_shipdate <= timestamp '1998-09-02' group by 1, 2",
