@@ -28,7 +28,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents whose toxicity score stays below ``TOXIC_AT``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(toxicity.split(docs, labels, "toxic"))
-    return toxicity.score(docs, model, docs.columns).where(F.col("score") < TOXIC_AT).select(*docs.columns)
+    # The whole row travels as one column, so no column of it can clash with those of the operator.
+    found = toxicity.score(docs.select(F.struct("*").alias("row"), "text"), model, ["row"])
+    return found.where(F.col("score") < TOXIC_AT).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,6 +36,9 @@ def test_stages_with_awkward_rows(spark, sf):
     assert masked[3].text == filler
     packed = cp.pack(spark, docs, sf).collect()
     assert {r.doc_id for r in packed} == {1, 2, 3, 4, 5, 6, 7, None}
+    extra = docs.selectExpr("*", "1 as score", "'x' as segments", "2 as row", "3 as clean", "4 as `a b`")
+    for _, stage in cp.STAGES[:-1]:
+        assert stage(spark, extra, sf).columns == extra.columns
     empty = docs.limit(0)
     for _, stage in cp.STAGES:
         assert stage(spark, empty, sf).count() == 0

@@ -93,6 +93,7 @@ def test_base_spans_on_known_values():
     text = "x a.b+c@d-e.co.uk, 4111 1111 1111 1111; +1 (017) 555-7713 and 10.0.0.255 1.2.3.256 a@b @c.d"
     assert [text[s:e] for s, _, e in pii.base_spans(text)] == ["a.b+c@d-e.co.uk", "4111 1111 1111 1111", "+1 (017) 555-7713", "10.0.0.255"]
     assert pii.base_spans("1" * 300000) == [] and pii.base_spans("a" * 300000 + "@") == [] and pii.base_spans("+1" + " " * 300000) == []
+    assert len(pii.base_spans("+1" + " " * 300 + "234567890123")) == 1
 
 
 def test_disclosing_terms_are_found_and_masked(spark, monkeypatch):

@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Text bytes that one numpy pass works on; a longer single text makes a pass of its own.
-SLICE_BYTES = 2 << 20
+#: Text bytes that one numpy pass works on; a longer single text makes a pass of its own. Passes hold some dozens of
+#: bytes for each byte of text.
+SLICE_BYTES = 1 << 19
 
 
 def workdir(spark: SparkSession, name: str) -> str:

@@ -30,6 +30,8 @@ TRAIN_DOCS, TRAIN_HEAD, TRAIN_CHARS = 128, 400, 32_000
 #: Letters that get symbols of their own; gaps and rarer letters have one each besides.
 LETTERS = 120
 BLOCK = 1024
+#: Text bytes parsed side by side: each step of a block is one pass over all of them.
+SIDE_BY_SIDE = 2 << 20
 
 
 def training_text(documents: DataFrame, allowed: Column) -> dict[str, str]:
@@ -159,7 +161,7 @@ def identify(documents: DataFrame, texts: dict[str, str]) -> DataFrame:
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _languages(sent.value)
-        for batch, col in slices(batches, "text"):
+        for batch, col in slices(batches, "text", SIDE_BY_SIDE):
             rows = col.to_pylist()
             names, score = ["und"] * len(rows), np.zeros(len(rows))
             if m.names:

@@ -61,26 +61,44 @@ class _Ids:
         self.clear()
 
     def clear(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)  # sorted
-        self.at = np.zeros(0, np.int64)  # where the ids of each begin
-        self.n = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        empty = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # Sorted hashes, where the ids of each begin, and how many there are: of most words, and of the latest ones.
+        self.tables = [empty, empty]
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.used = 0
+
+    def __len__(self) -> int:
+        return sum(len(t[0]) for t in self.tables)
 
     def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         n = np.array([len(x) for x in got], np.int64)
-        at = len(self.ids) + np.cumsum(n) - n
-        self.ids = np.concatenate([self.ids, np.array([i for x in got for i in x], np.uint32)])
-        h = np.concatenate([self.hashes, hashes])
-        order = np.argsort(h)
-        self.hashes, self.at, self.n = h[order], np.concatenate([self.at, at])[order], np.concatenate([self.n, n])[order]
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places among the known ones, and whether they are known."""
-        if not len(self.hashes):
-            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        i = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return i, self.hashes[i] == hashes
+        at = self.used + np.cumsum(n) - n
+        new = np.array([i for x in got for i in x], np.uint32)
+        if self.used + len(new) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(self.ids), len(new)), np.uint32)])
+        self.ids[self.used : self.used + len(new)] = new
+        self.used += len(new)
+        self._add(1, (hashes, at, n))
+        if len(self.tables[1][0]) > 1 << 15:
+            self._add(0, self.tables[1])
+            self.tables[1] = tuple(x[:0] for x in self.tables[1])
+
+    def _add(self, k: int, rows: tuple) -> None:
+        both = [np.concatenate(x) for x in zip(self.tables[k], rows, strict=True)]
+        order = np.argsort(both[0])
+        self.tables[k] = tuple(x[order] for x in both)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each word's ids begin, how many there are, and whether the word is known."""
+        at, n, have = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        for known, begin, count in self.tables:
+            if len(known):
+                i = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                hit = known[i] == hashes
+                at[hit], n[hit] = begin[i[hit]], count[i[hit]]
+                have |= hit
+        return at, n, have
 
 
 def token_ids(col: pa.Array, known: _Ids) -> tuple[np.ndarray, np.ndarray]:
@@ -120,17 +138,16 @@ def token_ids(col: pa.Array, known: _Ids) -> tuple[np.ndarray, np.ndarray]:
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODE[low] * _power(_P, n), dtype=np.uint64)])
     h = mix((sums[b] - sums[a]) * _power(_Q, n)[a] ^ (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     distinct, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-    if len(known.hashes) > KEEP:
+    if len(known) > KEEP:
         known.clear()
-    _, have = known.find(distinct)
+    begin, size, have = known.find(distinct)
     if not have.all():
         miss = at[~have]
         text = low.tobytes()
         known.learn(distinct[~have], [text[x:y].decode("utf-8", "replace") for x, y in zip(a[miss].tolist(), b[miss].tolist(), strict=True)])
-    i, _ = known.find(distinct)
-    i = i[inverse]
-    count = known.n[i]
-    ids = known.ids[np.repeat(known.at[i], count) + ranges(count)]
+        begin, size, _ = known.find(distinct)
+    count = size[inverse]
+    ids = known.ids[np.repeat(begin[inverse], count) + ranges(count)]
     total = np.concatenate([[0], np.cumsum(count)])
     return ids, total[np.searchsorted(a, off)]
 

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from ._shared import column, materialise, slices
 
@@ -84,7 +85,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
                     out.append((m.start(), 2, m.end()))
         if "+" in text:
             for m in _PHONE.finditer(text):
-                if 10 <= sum(c.isdigit() and c.isascii() for c in m[0][:64]) <= 15 and len(_DIGIT.findall(m[0])) <= 15:
+                if 10 <= len(_DIGIT.findall(m[0])) <= 15:
                     out.append((m.start(), 3, m.end()))
     return sorted(out)
 
@@ -177,7 +178,7 @@ def sanitise(documents: DataFrame, support: int = SUPPORT, generalise_at: float
     found = materialise(disclosing_terms(documents, support, generalise_at), "disclosing")
     count = found.count()
     source = documents.select("doc_id", "text", F.struct("*").alias("row"))
-    span = "array<struct<kind:string,start:bigint,end:bigint>>"
+    span = S.ArrayType(S.StructType().add("kind", "string").add("start", "long").add("end", "long"))
     kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     per_row = count > BROADCAST_TERMS
     sent = None
@@ -207,5 +208,5 @@ def sanitise(documents: DataFrame, support: int = SUPPORT, generalise_at: float
                 clean.append(None if not given[i].is_valid else clean_text(text, base, terms, remove_at) if both else text)
             yield pa.RecordBatch.from_arrays([column(batch, "row"), pa.array(spans, kinds), pa.array(bases, kinds), pa.array(clean, pa.string())], names=["row", "spans", "base", "clean"])
 
-    row = source.schema["row"].dataType.simpleString()
-    return source.mapInArrow(mask, f"row {row}, spans {span}, base {span}, clean string")
+    fields = S.StructType().add("row", source.schema["row"].dataType).add("spans", span).add("base", span).add("clean", "string")
+    return source.mapInArrow(mask, fields)

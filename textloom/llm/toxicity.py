@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from ._shared import column, materialise, slices
 from ._words import ALNUM, words
@@ -214,8 +215,9 @@ def documents_evidence(documents: DataFrame, model: Model, keep: list[str]) -> D
             out = [[{"first": a, "end": b, "log_p": p} for a, b, p in s] for s in segments]
             yield pa.RecordBatch.from_arrays([*(column(batch, k) for k in keep), pa.array(evidence), pa.array(out, kinds)], names=[*keep, "evidence", "segments"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema)
-    return documents.select(*dict.fromkeys([*keep, "text"])).mapInArrow(look, f"{fields}, evidence double, segments array<struct<first:bigint,end:bigint,log_p:double>>")
+    fields = S.StructType(documents.select(*keep).schema.fields).add("evidence", "double")
+    fields = fields.add("segments", S.ArrayType(S.StructType().add("first", "long").add("end", "long").add("log_p", "double")))
+    return documents.select(*dict.fromkeys([*keep, "text"])).mapInArrow(look, fields)
 
 
 def score(documents: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
