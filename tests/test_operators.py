@@ -114,6 +114,17 @@ def test_hash_embeddings_are_unit_vectors(spark):
     assert abs(sum(x * x for x in got[1]) - 1) < 1e-5 and got[2] is None and got[3] is None
 
 
+def test_retrieve_and_section_scores(spark):
+    docs = spark.createDataFrame([(1, "a dog barks at night"), (2, "stock prices fell"), (3, "the puppy barks")], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "dog barks")], "query_id long, text string")
+    got = retrieval.retrieve(docs, q, k=2).orderBy("rank").collect()
+    assert [r.doc_id for r in got] == [1, 3] and all(r.cosine > 0.15 for r in got)
+    parts = spark.createDataFrame([(1, "x", "sorting lists in python"), (1, "y", "baking bread")], "prompt_id long, section_id string, content string")
+    asked = spark.createDataFrame([(1, "sort a python list")], "prompt_id long, query string")
+    scores = {r.section_id: r.score for r in retrieval.section_scores(parts, asked).collect()}
+    assert scores["x"] > scores["y"]
+
+
 # Prompts
 
 

@@ -82,7 +82,12 @@ def entity_graph_topk(spark: SparkSession, sf: str) -> DataFrame:
     return R.entity_scores(_t(spark, sf, "documents"), items, ENTITY_STOP, 10)
 
 
+def retrieve_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    return R.retrieve(_t(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"), asked(spark), budget=300)
+
+
 QUERIES = {
+    "retrieve_hybrid": retrieve_hybrid,
     "bm25_topk": bm25_topk,
     "term_stats": term_stats,
     "cosine_topk": cosine_topk,
