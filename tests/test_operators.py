@@ -166,6 +166,16 @@ def test_patch_round_trip(spark):
     assert all(r.back == r.want for r in got)
 
 
+def test_dictionary_coding_of_awkward_blocks(spark):
+    shared = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, f"{shared}\n[[f:0123456789abcdef]]\n\\\\[[f:x"), (2, f"a\n{shared}"), (3, "")], "doc_id long, text string")
+    words = deltas.fragments(docs)
+    coded = deltas.encode(docs, words)
+    assert words.count() == 1 and {r.doc_id: len(r.used) for r in coded.collect()} == {1: 1, 2: 1, 3: 0}
+    back = {r.doc_id: r.text for r in deltas.decode(coded, words).collect()}
+    assert back == {r.doc_id: r.text for r in docs.collect()}
+
+
 def test_delta_protocol(spark):
     snap = spark.createDataFrame([("p", 1, "a\nb"), ("p", 2, "a\nc")], "path string, version int, content string")
     req = spark.createDataFrame([("p", 1, None), ("p", 2, None), ("p", None, None), ("q", 1, None)], "path string, known_version int, known_hash string")

@@ -93,7 +93,7 @@ def encode(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", text: st
     each = docs.select(key, F.posexplode(F.split(text, separator)).alias("pos", "content")).withColumn("fragment_id", T.short_hash("content"))
     hit = each.join(dictionary.select("fragment_id", F.lit(True).alias("known")), "fragment_id", "left")
     # A block that already looks like a reference is escaped, so that decoding is exact.
-    plain = F.regexp_replace("content", r"^(\\*\[\[f:)", r"\\\\$1")
+    plain = F.regexp_replace("content", r"^(\\*\[\[f:)", r"\\$1")
     part = F.when(F.col("known"), F.concat(F.lit("[[f:"), "fragment_id", F.lit("]]"))).otherwise(plain)
     ordered = F.array_sort(F.collect_list(F.struct("pos", part.alias("part"))))
     return hit.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["part"]), separator).alias("encoded"), F.array_sort(F.collect_set(F.when(F.col("known"), F.col("fragment_id")))).alias("used"))
