@@ -132,5 +132,19 @@ from d left join words using (doc_id) left join items using (doc_id)
 """
 
 
+#: Links by counting common shingles of all pairs that have any; components by reachability.
+_OP7_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sh as (select distinct doc_id, s from (select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from w)),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as i from sh a join sh b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 85 * (x.n + y.n - i)),
+r as (select doc_id as d, doc_id as c from documents union select r.d, e.b from r join e on e.a = r.c),
+m as (select d as doc_id, min(c) as component_id from r group by d)
+select documents.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, documents.doc_id = component_id as kept
+from documents left join n using (doc_id) left join m using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": _OP1_SQL, "op3_decontaminate": _OP3_SQL}
+    return {"op1_warc": _OP1_SQL, "op3_decontaminate": _OP3_SQL, "op7_near_duplicates": _OP7_SQL}
