@@ -113,6 +113,17 @@ def test_disclosing_terms_are_found_and_masked(spark, monkeypatch):
     assert pii.sanitise(odd(spark)).count() == len(ODD)
 
 
+def test_terms_common_elsewhere_are_left_alone(spark):
+    rows = [(i, f"to unsubscribe from falcon list {i} write to a@corp.org now") for i in range(4)]
+    rows += [(50 + i, f"write to p{i}@corp.org now") for i in range(20)]
+    rows += [(100 + i, f"how does one unsubscribe from page {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    terms = {r.term for r in pii.disclosing_terms(docs).collect()}
+    assert "falcon" in terms and not {"unsubscribe", "from", "how"} & terms
+    counts = {r.term: r.d_t for r in pii.text_counts(docs.union(docs), spark.createDataFrame([("unsubscribe",)], "term string")).collect()}
+    assert counts[None] == len(rows) and counts["unsubscribe"] == 304
+
+
 def test_pii_query(spark, sf):
     for r in queries.op2_pii(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").collect():
         base = brute_spans(r.text)

@@ -11,9 +11,14 @@ A term discloses e to the degree PMI / IC, which is 1 where every context of the
 document it occurs. Pairs seen in fewer than ``support`` distinct contexts prove nothing and are left alone, as is an
 entity that all contexts share (IC 0).
 
-Both passes read each text once and whole; what is shuffled are the terms near mentions, pre-aggregated. The list of
-disclosing terms is broadcast while it holds at most ``BROADCAST_TERMS``; a longer one is joined with the words of all
-texts instead.
+Contexts don't show how common a term is elsewhere. The same quotient is therefore taken over the distinct texts of the
+whole corpus too, with D of them, d_e that mention e, d_t that hold t anywhere and d_et where t stands near e. A pair
+counts only if both quotients reach ``generalise_at``.
+
+The passes read each text whole. Shuffled are the texts, once, to find the distinct ones; the terms near mentions; and
+counts of words, pre-aggregated a task. Which words to count goes out as a bitmap of fixed size. The list of disclosing
+terms is broadcast while it holds at most ``BROADCAST_TERMS``; a longer one is joined with the words of all texts
+instead.
 
 Defined results: null text is empty; texts without findings come back as they are; repeated rows get a row each and
 their contexts count once; only ``doc_id`` and ``text`` are read and other columns are kept by ``sanitise``.
@@ -23,6 +28,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,6 +48,8 @@ WINDOW = 8
 SUPPORT = 3
 GENERALISE_AT, REMOVE_AT = 0.9, 0.995
 BROADCAST_TERMS = 100_000
+#: Bits of the bitmap of words that are counted, and words that a task holds before it passes their counts on.
+BITS, HELD_WORDS = 1 << 20, 200_000
 
 # The base patterns. They are matched leftmost and non-overlapping, in forms that never go over a run of
 # characters twice: possessive repeats, and for emails the part before the @ is walked back from it.
@@ -106,37 +115,91 @@ def _context(text: str, start: int, end: int, spans: list[tuple[int, int, int]])
     return [text[a:b].lower() for a, b in before[-WINDOW:] + after[:WINDOW] if not any(a < e and s < b for s, e in near)]
 
 
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(errors="replace"), digest_size=8).digest(), "big", signed=True)
+
+
 def contexts(documents: DataFrame) -> DataFrame:
-    """entity, context (digest of its words), terms: one row a mention."""
+    """entity, doc (digest of the text), context (digest of its words), terms: one row a mention."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, col in slices(batches, "text"):
-            who, digest, terms = [], [], []
+            who, doc, digest, terms = [], [], [], []
             for text in col.to_pylist():
                 spans = base_spans(text)
+                whole = _digest(text) if spans else 0
                 for start, kind, end in spans:
                     near = sorted(set(_context(text, start, end, spans)))
                     who.append(entity(kind, text[start:end]))
-                    digest.append(int.from_bytes(hashlib.blake2b("\0".join(near).encode(errors="replace"), digest_size=8).digest(), "big", signed=True))
+                    doc.append(whole)
+                    digest.append(_digest("\0".join(near)))
                     terms.append(near)
-            yield pa.RecordBatch.from_arrays([pa.array(who, pa.string()), pa.array(digest, pa.int64()), pa.array(terms, pa.list_(pa.string()))], names=["entity", "context", "terms"])
+            yield pa.RecordBatch.from_arrays([pa.array(who, pa.string()), pa.array(doc, pa.int64()), pa.array(digest, pa.int64()), pa.array(terms, pa.list_(pa.string()))], names=["entity", "doc", "context", "terms"])
+
+    return documents.select("text").mapInArrow(find, "entity string, doc bigint, context bigint, terms array<string>")
+
+
+def _bitmap(terms: DataFrame) -> bytes:
+    """One bit for each remainder of crc32 that a term has: ``BITS`` of them, however many terms there are."""
+    bits = bytearray(BITS // 8)
+    for r in terms.select((F.crc32(F.col("term").cast("binary")) % BITS).alias("b")).distinct().collect():
+        bits[r["b"] >> 3] |= 1 << (r["b"] & 7)
+    return bytes(bits)
+
+
+def _in(bits: bytes, term: str) -> bool:
+    b = zlib.crc32(term.encode(errors="replace")) % BITS
+    return bool(bits[b >> 3] >> (b & 7) & 1)
+
+
+def _words(text: str) -> set[str]:
+    """The distinct words of a text, lower-cased as terms are."""
+    return {w.lower() for w in set(_WORD.findall(text))}
+
+
+def text_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, d_t: the distinct texts that hold each of ``terms`` (and some words more); for null, all distinct texts."""
+    sent = documents.sparkSession.sparkContext.broadcast(_bitmap(terms))
+
+    def rows(held: Counter) -> pa.RecordBatch:
+        kept = [(t, n) for t, n in held.items() if t is None or _in(sent.value, t)]
+        return pa.RecordBatch.from_arrays([pa.array([t for t, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["term", "d_t"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+        for _, col in slices(batches, "text"):
+            held[None] += len(col)
+            for text in col.to_pylist():
+                held.update(_words(text))
+                if len(held) > HELD_WORDS:
+                    yield rows(held)
+                    held = Counter()
+        yield rows(held)
 
-    return documents.select("text").mapInArrow(find, "entity string, context bigint, terms array<string>")
+    distinct = documents.select(F.coalesce("text", F.lit("")).alias("text")).distinct()
+    return distinct.mapInArrow(count, "term string, d_t bigint").groupBy("term").agg(F.sum("d_t").alias("d_t"))
 
 
 def disclosing_terms(documents: DataFrame, support: int = SUPPORT, at: float = GENERALISE_AT) -> DataFrame:
-    """term, degree: the largest PMI / IC over the entities that a term reveals, where it reaches ``at``."""
-    seen = materialise(contexts(documents).dropDuplicates(["entity", "context"]), "contexts")
-    n_e = seen.groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = seen.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et"))
+    """term, degree: the largest PMI / IC over the entities that a term reveals, where it reaches ``at`` both over
+    contexts (the degree given) and over the texts of the corpus."""
+    seen = materialise(contexts(documents).dropDuplicates(["entity", "doc", "context"]), "contexts")
+    distinct = seen.dropDuplicates(["entity", "context"])
+    n_e = seen.groupBy("entity").agg(F.countDistinct("context").alias("n_e"), F.countDistinct("doc").alias("d_e"))
+    each = seen.select("entity", "doc", "context", F.explode("terms").alias("term"))
+    pairs = each.groupBy("entity", "term").agg(F.countDistinct("context").alias("n_et"), F.countDistinct("doc").alias("d_et"))
     pairs = materialise(pairs, "pairs")
     n_t = pairs.groupBy("term").agg(F.sum("n_et").alias("n_t"))
-    total = seen.count()
     strong = pairs.where(F.col("n_et") >= support)
-    joined = strong.join(n_e, "entity").join(n_t, "term")
-    ic = F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
-    pmi = F.log2(F.col("n_et") * F.lit(float(max(total, 1))) / (F.col("n_e") * F.col("n_t")))
-    return joined.where(ic > 0).withColumn("degree", pmi / ic).where(F.col("degree") >= at).groupBy("term").agg(F.max("degree").alias("degree"))
+    counts = materialise(text_counts(documents, strong.select("term")), "counts")
+    total, texts = distinct.count(), counts.where("term is null").agg(F.sum("d_t")).first()[0]
+    joined = strong.join(n_e, "entity").join(n_t, "term").join(counts, "term")
+    all_contexts, all_texts = F.lit(float(max(total, 1))), F.lit(float(max(texts or 0, 1)))
+    ic = F.log2(all_contexts / F.col("n_e"))
+    pmi = F.log2(F.col("n_et") * all_contexts / (F.col("n_e") * F.col("n_t")))
+    wide = F.try_divide(F.log2(F.col("d_et") * all_texts / (F.col("d_e") * F.col("d_t"))), F.log2(all_texts / F.col("d_e")))
+    judged = joined.where(ic > 0).withColumn("degree", pmi / ic).where((F.col("degree") >= at) & (wide >= at))
+    return judged.groupBy("term").agg(F.max("degree").alias("degree"))
 
 
 def _term_spans(text: str, degree: dict[str, float], base: list[tuple[int, int, int]]) -> list[tuple[int, int, float]]:
