@@ -124,6 +124,13 @@ def test_terms_common_elsewhere_are_left_alone(spark):
     assert counts[None] == len(rows) and counts["unsubscribe"] == 304
 
 
+def test_terms_of_single_mentions_are_judged(spark):
+    rows = [(i, f"write to p{i}@corp.org now") for i in range(20)] + [(50, "ask zebulon via z@corp.org now")]
+    rows += [(100 + i, f"how to write page {i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.term for r in pii.disclosing_terms(docs).collect()} == {"ask", "zebulon", "via"}
+
+
 def test_pii_query(spark, sf):
     for r in queries.op2_pii(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").collect():
         base = brute_spans(r.text)

@@ -8,12 +8,16 @@ n_e of them around entity e, n_t holding term t and n_et both:
 
 A term discloses e to the degree PMI / IC, which is 1 where every context of the term belongs to e. At
 ``generalise_at`` and more the term is replaced by its class, at ``remove_at`` and more it is removed, in whichever
-document it occurs. Pairs seen in fewer than ``support`` distinct contexts prove nothing and are left alone, as is an
-entity that all contexts share (IC 0).
+document it occurs. An entity that all contexts share (IC 0) is left alone.
 
 Contexts don't show how common a term is elsewhere. The same quotient is therefore taken over the distinct texts of the
-whole corpus too, with D of them, d_e that mention e, d_t that hold t anywhere and d_et where t stands near e. A pair
-counts only if both quotients reach ``generalise_at``.
+whole corpus too, with D of them, d_e that mention e, d_t that hold t anywhere and d_et where t stands near e. All pairs
+are judged, those of a single mention too; so that few texts prove less than many, the share of t's texts that are near
+e is smoothed by ``PRIOR`` texts that show e as often as the corpus does:
+
+    p(e | t) = (d_et + PRIOR d_e / D) / (d_t + PRIOR)        PMI(t, e) = log2(p(e | t) D / d_e)
+
+A pair counts only if both quotients reach ``generalise_at``.
 
 The passes read each text whole. Shuffled are the texts, once, to find the distinct ones; the terms near mentions; and
 counts of words, pre-aggregated a task. Which words to count goes out as a bitmap of fixed size. The list of disclosing
@@ -45,7 +49,8 @@ TERM = "term"
 
 #: Words on each side of a mention that make its context.
 WINDOW = 8
-SUPPORT = 3
+#: Texts that smooth a share: half a one, as in the Jeffreys prior.
+PRIOR = 0.5
 GENERALISE_AT, REMOVE_AT = 0.9, 0.995
 BROADCAST_TERMS = 100_000
 #: Bits of the bitmap of words that are counted, and words that a task holds before it passes their counts on.
@@ -180,7 +185,7 @@ def text_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
     return distinct.mapInArrow(count, "term string, d_t bigint").groupBy("term").agg(F.sum("d_t").alias("d_t"))
 
 
-def disclosing_terms(documents: DataFrame, support: int = SUPPORT, at: float = GENERALISE_AT) -> DataFrame:
+def disclosing_terms(documents: DataFrame, at: float = GENERALISE_AT) -> DataFrame:
     """term, degree: the largest PMI / IC over the entities that a term reveals, where it reaches ``at`` both over
     contexts (the degree given) and over the texts of the corpus."""
     seen = materialise(contexts(documents).dropDuplicates(["entity", "doc", "context"]), "contexts")
@@ -190,14 +195,14 @@ def disclosing_terms(documents: DataFrame, support: int = SUPPORT, at: float = G
     pairs = each.groupBy("entity", "term").agg(F.countDistinct("context").alias("n_et"), F.countDistinct("doc").alias("d_et"))
     pairs = materialise(pairs, "pairs")
     n_t = pairs.groupBy("term").agg(F.sum("n_et").alias("n_t"))
-    strong = pairs.where(F.col("n_et") >= support)
-    counts = materialise(text_counts(documents, strong.select("term")), "counts")
+    counts = materialise(text_counts(documents, pairs.select("term")), "counts")
     total, texts = distinct.count(), counts.where("term is null").agg(F.sum("d_t")).first()[0]
-    joined = strong.join(n_e, "entity").join(n_t, "term").join(counts, "term")
+    joined = pairs.join(n_e, "entity").join(n_t, "term").join(counts, "term")
     all_contexts, all_texts = F.lit(float(max(total, 1))), F.lit(float(max(texts or 0, 1)))
     ic = F.log2(all_contexts / F.col("n_e"))
     pmi = F.log2(F.col("n_et") * all_contexts / (F.col("n_e") * F.col("n_t")))
-    wide = F.try_divide(F.log2(F.col("d_et") * all_texts / (F.col("d_e") * F.col("d_t"))), F.log2(all_texts / F.col("d_e")))
+    share = (F.col("d_et") + PRIOR * F.col("d_e") / all_texts) / (F.col("d_t") + PRIOR)
+    wide = F.try_divide(F.log2(share * all_texts / F.col("d_e")), F.log2(all_texts / F.col("d_e")))
     judged = joined.where(ic > 0).withColumn("degree", pmi / ic).where((F.col("degree") >= at) & (wide >= at))
     return judged.groupBy("term").agg(F.max("degree").alias("degree"))
 
@@ -235,10 +240,10 @@ def clean_text(text: str, base: list[tuple[int, int, int]], terms: list[tuple[in
     return "".join([*out, text[at:]])
 
 
-def sanitise(documents: DataFrame, support: int = SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
+def sanitise(documents: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """All columns of ``documents`` in a struct ``row``, with spans (array of kind, start, end), base (array of the
     same for base findings) and clean (the sanitised text; null text stays null)."""
-    found = materialise(disclosing_terms(documents, support, generalise_at), "disclosing")
+    found = materialise(disclosing_terms(documents, generalise_at), "disclosing")
     count = found.count()
     source = documents.select("doc_id", "text", F.struct("*").alias("row"))
     span = S.ArrayType(S.StructType().add("kind", "string").add("start", "long").add("end", "long"))
