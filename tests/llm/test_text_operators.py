@@ -131,6 +131,18 @@ def test_terms_of_single_mentions_are_judged(spark):
     assert {r.term for r in pii.disclosing_terms(docs).collect()} == {"ask", "zebulon", "via"}
 
 
+def test_joined_terms_are_cut_as_sent_ones(spark, monkeypatch):
+    odd_words = ["cafe\u0301s", "m\u00b2", "\u0939\u093f\u0928\u094d\u0926\u0940", "\u0130zmir"]
+    rows = [(i, f"{' '.join(odd_words)} falcon {i} a@corp.org") for i in range(10)]
+    rows += [(50 + i, f"write to p{i}@corp.org now") for i in range(100)] + [(999, " ".join(odd_words))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = []
+    for most in (pii.BROADCAST_TERMS, 0):
+        monkeypatch.setattr(pii, "BROADCAST_TERMS", most)
+        got.append(sorted((r.row.doc_id, r.clean, [tuple(s) for s in r.spans]) for r in pii.sanitise(docs).collect()))
+    assert got[0] == got[1] and len(got[0][-1][2]) > 4
+
+
 def test_pii_query(spark, sf):
     for r in queries.op2_pii(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").collect():
         base = brute_spans(r.text)

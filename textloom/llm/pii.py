@@ -207,6 +207,22 @@ def disclosing_terms(documents: DataFrame, at: float = GENERALISE_AT) -> DataFra
     return judged.groupBy("term").agg(F.max("degree").alias("degree"))
 
 
+def _used(keyed: DataFrame, terms: DataFrame) -> DataFrame:
+    """_key, term: the words of each text, cut as terms are, that may be among ``terms``."""
+    sent = keyed.sparkSession.sparkContext.broadcast(_bitmap(terms))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, col in slices(batches, "text"):
+            keys, words = [], []
+            for key, text in zip(column(batch, "_key").to_pylist(), col.to_pylist(), strict=True):
+                mine = [w for w in _words(text) if _in(sent.value, w)]
+                keys += [key] * len(mine)
+                words += mine
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(words, pa.string())], names=["_key", "term"])
+
+    return keyed.select("_key", "text").mapInArrow(cut, "_key string, term string")
+
+
 def _term_spans(text: str, degree: dict[str, float], base: list[tuple[int, int, int]]) -> list[tuple[int, int, float]]:
     """(start, end, degree) of disclosing terms outside the base spans."""
     if not degree:
@@ -254,8 +270,7 @@ def sanitise(documents: DataFrame, generalise_at: float = GENERALISE_AT, remove_
         # A row number of its own for each row would need a shuffle; the digest of the text serves as key, as equal
         # texts have equal terms.
         source = source.withColumn("_key", F.sha2(F.coalesce("text", F.lit("")), 256))
-        used = source.select("_key", F.explode(F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '(?U)\\w+', 0)"))).alias("term"))
-        mine = used.join(found, "term").groupBy("_key").agg(F.collect_set(F.struct("term", "degree")).alias("_terms"))
+        mine = _used(source, found).join(found, "term").groupBy("_key").agg(F.collect_set(F.struct("term", "degree")).alias("_terms"))
         source = source.join(mine, "_key", "left").drop("_key")
     else:
         sent = documents.sparkSession.sparkContext.broadcast({r["term"]: r["degree"] for r in found.collect()})
