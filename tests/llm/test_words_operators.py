@@ -137,3 +137,15 @@ def test_license_scan_equals_brute_force(spark, sf):
     assert any(x[6] for x in got)
     assert licenses.scan(odd(spark)).count() == len(ODD)
     assert licenses.scan(table.limit(0)).count() == 0
+
+
+def test_license_scan_finds_notices_at_every_place(spark):
+    mit = ["other", "words", *words(licenses.TEMPLATES[2][1])[2:]]
+    docs = [(i, " ".join([f"w{j}" for j in range(i)] + mit + [f"v{j}" for j in range(40)])) for i in range(90)]
+    got = {r.doc_id: r.template_labels for r in licenses.scan(spark.createDataFrame(docs, ODD_SCHEMA)).collect()}
+    longest = max(len(words(t)) for _, t in licenses.TEMPLATES)
+    for doc, text in docs:
+        w = words(text)
+        spots = [set(w[i : i + longest]) for i in range(len(w))]
+        want = {label for label, t in licenses.TEMPLATES if any(len(b & set(words(t))) >= licenses.THRESHOLD * len(set(words(t))) - 1e-9 for b in spots)}
+        assert want == {"mit"} and want <= set(got[doc]), doc

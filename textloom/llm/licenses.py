@@ -86,7 +86,8 @@ class _Templates:
                 self.prefix.setdefault(h, []).append((k, i))
         self.keys = np.array(sorted(self.prefix), np.uint64)
         self.sets = [set(t) for t in self.ordered]
-        self.window = 2 * max(map(len, self.ordered))
+        #: Twice the most words, repeated ones counted, of a template.
+        self.window = 2 * max(len(_hashes(text)) for _, text in templates)
 
 
 def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
