@@ -299,3 +299,20 @@ def test_expressions_over_queries_and_commands(spark):
     assert rows[0].w.rule == "git_status" and rows[0].w.command.endswith("exec -- git status") and rows[1].w.rule is None
     assert asking.register(spark)[0] == "tl_normal_line"
     assert tuple(spark.sql("select tl_tokens('abcde fg!'), tl_words('A b'), tl_normal_line(' x 12 ')").first()) == (4, ["a", "b"], "x <N>")
+
+
+def test_trade_rank_takes_all_lines(spark, sf):
+    from textloom.plans import relational
+
+    read = {n: spark.read.parquet(f"{sf}/{n}.parquet").toPandas() for n in ("orders", "customer", "lineitem", "supplier", "nation")}
+    o = read["orders"].merge(read["customer"], left_on="o_custkey", right_on="c_custkey")
+    j = read["lineitem"].merge(read["supplier"], left_on="l_suppkey", right_on="s_suppkey").merge(o, left_on="l_orderkey", right_on="o_orderkey")
+    links = {(a, b) for a, b in zip(j.c_nationkey, j.s_nationkey, strict=True) if a != b}
+    nodes = sorted(set(read["nation"].n_nationkey))
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(10):
+        lost = sum(rank[a] for a in nodes if not any(x == a for x, _ in links))
+        given = {b: sum(rank[x] / sum(y == x for y, _ in links) for x, z in links if z == b) for b in nodes}
+        rank = {b: 0.15 / len(nodes) + 0.85 * (given[b] + lost / len(nodes)) for b in nodes}
+    got = {r.node: r["rank"] for r in relational.trade_rank(spark, sf).collect()}
+    assert set(got) == set(nodes) and all(abs(got[n] - rank[n]) < 2e-6 for n in nodes)

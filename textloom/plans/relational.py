@@ -53,7 +53,7 @@ def newest_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def user_sets(spark: SparkSession, sf: str) -> DataFrame:
-    """Users with an odd event_id, those with one of type 'click' or the first type, and how the sets combine."""
+    """Users with an event_id that leaves 1 divided by 97, those with one that leaves 2 divided by 89, and how the sets combine."""
     e = _t(spark, sf, "events")
     a, b = e.where("event_id % 97 = 1").select("user_id").distinct(), e.where("event_id % 89 = 2").select("user_id").distinct()
     both = [("union", a.union(b).distinct()), ("intersect", a.intersect(b)), ("except", a.exceptAll(b))]
@@ -78,7 +78,7 @@ def touching_facts(spark: SparkSession, sf: str) -> DataFrame:
 def trade_rank(spark: SparkSession, sf: str) -> DataFrame:
     """PageRank of nations over edges from a customer's nation to the nations of suppliers of its orders' parts."""
     o = _t(spark, sf, "orders").join(_t(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").alias("src"))
-    s = _t(spark, sf, "lineitem").join(_t(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), F.col("s_nationkey").alias("dst"))
+    s = _t(spark, sf, "lineitem").join(_t(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_orderkey").alias("o_orderkey"), F.col("s_nationkey").alias("dst"))
     edges = o.join(s, "o_orderkey").select("src", "dst")
     return graph.pagerank(_t(spark, sf, "nation").select(F.col("n_nationkey").alias("node")), edges, rounds=10).select("node", F.round("rank", 6).alias("rank"))
 
