@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from textloom.llm import langid, packing, phrases, pii, quality, queries, toxicity, warc
 
@@ -358,3 +359,16 @@ def test_language_edges(spark):
     assert dict(got)[1] == dict(got)[2] == dict(got)[3] == "und" and dict(got)[4] == "en" and len(got) == 7
     assert {r.lang_pred for r in langid.identify(table, {}).collect()} == {"und"}
     assert langid.identify(table.limit(0), {"en": "a"}).count() == 0
+
+
+def test_training_takes_more_than_heads(spark):
+    head = "same heading " * 40
+    docs = spark.createDataFrame([(1, head + "quixotic tail", "en"), (1, head + "quixotic tail", "en"), (2, head + "vierte zeile", "de")], "doc_id bigint, text string, lang string")
+    got = langid.training_text(docs, F.lit(True))
+    assert "quixotic tail" in got["en"] and "vierte zeile" in got["de"]
+    for sizes in ([10**6] * 128, [5, 10**6, 7], [0, 3], [], [40_000]):
+        cut = langid.pieces(sizes)
+        total = sum(b - a for a, b in cut) + max(len(sizes) - 1, 0)
+        assert all(0 <= a <= b <= n for (a, b), n in zip(cut, sizes, strict=True)) and total <= langid.TRAIN_CHARS
+        assert total == sum(sizes) + max(len(sizes) - 1, 0) or total > langid.TRAIN_CHARS - len(sizes)
+    assert len({a for a, _ in langid.pieces([10**6] * 128)}) == 128

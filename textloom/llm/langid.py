@@ -5,8 +5,9 @@ substring of its training text; parsing with it takes the longest known phrase a
 symbols and N symbols of training text, c log2(N) / n estimates the cross entropy, and the lowest one wins. Parsing
 runs over whole texts, in blocks of ``BLOCK`` symbols side by side; a phrase also ends where its block does.
 
-Training text is bounded: at most ``TRAIN_DOCS`` documents a language, chosen by hash, with ``TRAIN_HEAD`` characters
-of each and ``TRAIN_CHARS`` in all. Prediction reads everything.
+Training text is bounded: at most ``TRAIN_DOCS`` documents a language, chosen by hash, and ``TRAIN_CHARS`` characters
+in all. Texts go in whole where that holds them; else longer ones give a piece each, of equal lengths and from places
+spread over the texts. Prediction reads everything.
 
 Defined results: null text and text without letters: ``und`` with score 0; no training text at all: ``und``. Ties go
 to the language that sorts first. Repeated rows get a row each. Only ``doc_id``, ``text`` and (in training) ``lang``
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ._shared import column, slices
 
-TRAIN_DOCS, TRAIN_HEAD, TRAIN_CHARS = 128, 400, 32_000
+TRAIN_DOCS, TRAIN_CHARS = 128, 32_000
 #: Letters that get symbols of their own; gaps and rarer letters have one each besides.
 LETTERS = 120
 BLOCK = 1024
@@ -34,6 +35,23 @@ BLOCK = 1024
 SIDE_BY_SIDE = 2 << 20
 
 
+def pieces(sizes: list[int], most: int = TRAIN_CHARS) -> list[tuple[int, int]]:
+    """(start, end) of what is taken of texts of these sizes, joined by one space: ``most`` characters at most. Texts
+    under a common length are taken whole."""
+    left, each = most - max(len(sizes) - 1, 0), 0
+    for i, size in enumerate(sorted(sizes)):
+        each = max(left, 0) // (len(sizes) - i)
+        if size > each:
+            break
+        left, each = left - size, size
+    out = []
+    for i, size in enumerate(sizes):
+        take = min(size, each)
+        start = (size - take) * i // max(len(sizes) - 1, 1)
+        out.append((start, start + take))
+    return out
+
+
 def training_text(documents: DataFrame, allowed: Column) -> dict[str, str]:
     """Text of each language from rows that ``allowed`` admits."""
     known = documents.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
@@ -43,11 +61,18 @@ def training_text(documents: DataFrame, allowed: Column) -> dict[str, str]:
     # Of each language the rows with the lowest hashes, about twice as many as are used.
     share = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2.0 * TRAIN_DOCS / n)))), F.col("lang"))
     rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / float(1 << 32)
-    rows = known.withColumn("rank", rank).where(F.col("rank") < share).select("lang", "rank", "doc_id", F.substring("text", 1, TRAIN_HEAD).alias("head"))
-    heads: dict[str, list[str]] = {}
-    for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["rank"], r["doc_id"])):
-        heads.setdefault(r["lang"], []).append(r["head"])
-    return {lang: " ".join(x[:TRAIN_DOCS])[:TRAIN_CHARS] for lang, x in heads.items()}
+    rows = known.withColumn("rank", rank).where(F.col("rank") < share).select("lang", "rank", "doc_id", F.length("text").alias("size"), F.xxhash64("text").alias("hash"))
+    chosen: dict[str, list] = {}
+    for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["rank"], r["doc_id"], r["size"], r["hash"])):
+        chosen.setdefault(r["lang"], []).append(r)
+    # Sizes first, so that only the pieces come to the driver.
+    cuts = [(lang, r["doc_id"], r["hash"], i, a, b) for lang, x in chosen.items() for i, (r, (a, b)) in enumerate(zip(x[:TRAIN_DOCS], pieces([r["size"] for r in x[:TRAIN_DOCS]]), strict=True))]
+    table = documents.sparkSession.createDataFrame(cuts, "lang string, doc_id long, hash long, i long, a int, b int")
+    taken = known.withColumn("hash", F.xxhash64("text")).join(F.broadcast(table), ["lang", "doc_id", "hash"]).select("lang", "i", F.expr("substring(text, a + 1, b - a)").alias("piece"))
+    found: dict[str, dict[int, str]] = {}
+    for r in taken.distinct().collect():
+        found.setdefault(r["lang"], {})[r["i"]] = r["piece"]
+    return {lang: " ".join(x[i] for i in sorted(x)) for lang, x in found.items()}
 
 
 class Languages:
