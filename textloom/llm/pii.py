@@ -159,7 +159,7 @@ def _in(bits: bytes, term: str) -> bool:
 
 def _words(text: str) -> set[str]:
     """The distinct words of a text, lower-cased as terms are."""
-    return {w.lower() for w in set(_WORD.findall(text))}
+    return set(_WORD.findall(text.lower())) if text.isascii() else {w.lower() for w in set(_WORD.findall(text))}
 
 
 def text_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
@@ -225,7 +225,7 @@ def _used(keyed: DataFrame, terms: DataFrame) -> DataFrame:
 
 def _term_spans(text: str, degree: dict[str, float], base: list[tuple[int, int, int]]) -> list[tuple[int, int, float]]:
     """(start, end, degree) of disclosing terms outside the base spans."""
-    if not degree:
+    if not degree or degree.keys().isdisjoint(_words(text)):
         return []
     out, k = [], 0
     for m in _WORD.finditer(text):
