@@ -1,4 +1,4 @@
-"""Retrieval queries: the benchmark items that divide by 5 (of vectors: every 50th) ask all documents."""
+"""Retrieval queries: four fixed phrases, or the benchmark items or vectors whose id divides by 50, ask all rows."""
 
 from __future__ import annotations
 
