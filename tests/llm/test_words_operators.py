@@ -1,8 +1,11 @@
 """Decontamination, near-duplicates and license scan against brute force over whole tables and edge cases."""
 
 import hashlib
+import random
 import re
 
+import numpy as np
+
 from textloom.llm import decontam, licenses, neardup, queries
 
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -105,8 +108,8 @@ def test_near_duplicate_chains_and_edges(spark, monkeypatch):
     chain = [(100 - i, " ".join(word[6 * i : 6 * i + 100])) for i in range(40)]  # each linked with the next only
     ring = [(200 + i, " ".join([*word[:50], f"z{i}", *word[51:100]])) for i in range(12)]
     docs = [r for r in ODD if r[0] is not None and r[0] != 5] + [(14, "one two three"), (15, "ONE two  three")] + chain + ring
-    for few in (neardup.FEW_PAIRS, 0):
-        monkeypatch.setattr(neardup, "FEW_PAIRS", few)
+    for size in (neardup.BLOCK_MEMBERS, 3):
+        monkeypatch.setattr(neardup, "BLOCK_MEMBERS", size)
         table = spark.createDataFrame([(*r, "x", 1, 2) for r in docs], ODD_SCHEMA + ", items string, component bigint, n bigint").repartition(5)
         assert sorted(map(tuple, neardup.near_duplicates(table).collect())) == brute_groups(docs)
     got = {r.doc_id: r for r in neardup.near_duplicates(odd(spark)).collect()}
@@ -114,6 +117,36 @@ def test_near_duplicate_chains_and_edges(spark, monkeypatch):
     assert neardup.near_duplicates(odd(spark).limit(0)).count() == 0
 
 
+def test_near_duplicates_of_a_large_group_whose_pairs_are_mostly_no_links(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_MEMBERS", 100)
+    draw = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    docs = []
+    for i in range(700):  # copies with a few words gone or changed alike, so that few shingles are any copy's own
+        gone = set(draw.sample(range(1, 149), draw.choice((1, 2, 3, 3, 4))))
+        docs.append((i, " ".join(f"x{j % 7}" if j in gone and j % 2 else w for j, w in enumerate(base) if j not in gone or j % 2)))
+    got = sorted(map(tuple, neardup.near_duplicates(spark.createDataFrame(docs, ODD_SCHEMA).repartition(4)).collect()))
+    assert got == brute_groups(docs)
+    assert len({r[2] for r in got}) > 20
+
+
+def test_near_duplicates_of_a_document_that_comes_with_two_texts(spark):
+    one, two = ([f"{c}{i}" for i in range(100)] for c in "ab")
+    docs = [(1, " ".join(one)), (1, " ".join(two)), (2, " ".join([*one, "x"])), (3, " ".join([*two, "y"])), (0, " ".join(["z", *two])), (9, "else")]
+    got = neardup.near_duplicates(spark.createDataFrame(docs, ODD_SCHEMA)).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(0, 0), (1, 0), (2, 0), (3, 0), (9, 9)} and len(got) == 6
+
+
+def test_common_elements_counted_by_either_way(monkeypatch):
+    draw = np.random.default_rng(5)
+    sets = [np.unique(draw.integers(0, 60, n)) for n in draw.integers(0, 40, 30)]
+    want = [[0 if i == j else len(np.intersect1d(a, b)) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    for few, columns in ((4, 4096), (0, 7), (30, 5)):
+        monkeypatch.setattr(neardup, "FEW_OWNERS", few)
+        monkeypatch.setattr(neardup, "COLUMNS", columns)
+        assert neardup.common(np.concatenate(sets), np.repeat(np.arange(30), [len(x) for x in sets]), 30).tolist() == want
+
+
 def test_license_scan_equals_brute_force(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()] + ODD
     table = spark.createDataFrame(docs, ODD_SCHEMA)

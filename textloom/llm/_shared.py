@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,10 +19,12 @@ SLICE_BYTES = 1 << 19
 def workdir(spark: SparkSession, name: str) -> str:
     """A fresh folder path under ``spark.checkpoint.dir``, which every executor and the driver share.
 
-    Only a session that names no checkpoint folder (tests on one machine) gets one here.
+    Only a session within one process that names no checkpoint folder (tests) gets one here.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -34,6 +37,32 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of shared storage."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Steps:
+    """Tables that the steps of one run write to shared storage; ``clear`` deletes those that its result doesn't read."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = workdir(self.spark, name)
+        df.write.parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = back
+        return back
+
+    def clear(self, *kept: DataFrame) -> None:
+        gone = [p for p, df in self.paths.items() if not any(df is k for k in kept)]
+        discard(self.spark, gone)
+        self.paths = {p: df for p, df in self.paths.items() if p not in gone}
+
+
 def width(spark: SparkSession) -> int:
     """Partitions that a shuffle of this session makes."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
