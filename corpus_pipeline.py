@@ -1,7 +1,8 @@
 """A corpus pipeline over ``documents``: toxicity, near-duplicates, benchmark leaks, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last keep the columns of ``documents``;
-the last gives the packed pieces. ``run`` writes each stage's result to shared storage and reads it for the next.
+the last gives the packed pieces. ``run`` writes each stage's result to shared storage and reads it for the next; what a
+stage has written besides, and the result before it, are deleted then.
 
 Defined results: a document without text passes the first four stages as it is and is packed as its end token; an
 empty table gives an empty result; columns beyond those of ``documents`` are carried along to the packing stage.
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import decontam, neardup, packing, pii, toxicity
-from textloom.llm._shared import materialise
+from textloom.llm._shared import discard, materialise, scratch, workdir
 
 #: Probability of toxicity at which a document is rejected.
 TOXIC_AT = 0.7
@@ -72,6 +73,12 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last: list[str] = []
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        path = workdir(spark, name)
+        with scratch(spark):
+            found = stage(spark, docs, sf_dir)
+            found.write.parquet(path)
+        discard(spark, last)
+        docs, last = spark.read.schema(found.schema).parquet(path), [path]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,6 +1,7 @@
 """Archives, personal data, toxicity, quality, fingerprints, packing and language: contracts and edge cases."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -144,6 +145,14 @@ def test_joined_terms_are_cut_as_sent_ones(spark, monkeypatch):
     assert got[0] == got[1] and len(got[0][-1][2]) > 4
 
 
+def test_contexts_take_the_nearest_words_outside_spans():
+    text = "far " + "w" * 900 + " near a@b.c x1.2.3.4 10.0.0.1 after " + "v" * 700 + " end"
+    spans = pii.base_spans(text)
+    got = list(pii._contexts(text, spans))
+    assert [text[s:e] for s, _, e in spans] == ["a@b.c", "1.2.3.4", "10.0.0.1"]
+    assert got[0] == ["far", "w" * 900, "near", "after", "v" * 700, "end"] and got[1] == got[2] == got[0]
+
+
 def test_pii_query(spark, sf):
     for r in queries.op2_pii(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").collect():
         base = brute_spans(r.text)
@@ -208,16 +217,15 @@ def test_quality_on_held_out_documents(spark):
 
 def test_network_equals_direct_convolution(spark):
     rng = np.random.default_rng(0)
-    net = quality.Net(rng.normal(size=(256, quality.VECTOR)), rng.normal(size=(quality.WIDTH * quality.VECTOR, quality.FILTERS)), rng.normal(size=(4, quality.FILTERS)), rng.normal(size=quality.FILTERS), 0.3)
+    net = quality.Net(rng.normal(size=(256, quality.VECTOR)), rng.normal(size=(quality.WIDTH * quality.VECTOR, quality.FILTERS)), rng.normal(size=quality.FILTERS), rng.normal(size=quality.FILTERS), 0.3)
     texts = ["", "a", "ab ab ab cd ab", "x" * 256, "y z " * 200, "é" * 1000 + " end"]
     got, bounds = quality.chunk_logits(net, net.tables(), pa.array(texts, pa.large_string()))
     want = []
     for t in texts:
         b = np.frombuffer(t.encode(), np.uint8)
-        f = quality.repeat_flags(pa.array([t], pa.large_string()), len(b))
         x = net.vectors[np.append(b, np.zeros(quality.WIDTH, np.uint8))]
         n = max(len(b), 1)
-        r = np.stack([x[i : i + quality.WIDTH].reshape(-1) @ net.filters + net.flags[f[i] if i < len(f) else 0] for i in range(n)])
+        r = np.stack([x[i : i + quality.WIDTH].reshape(-1) @ net.filters + net.lift for i in range(n)])
         half = quality.CHUNK // 2
         halves = -(-n // half)
         for c in range(max(halves - 1, 1)):
@@ -227,6 +235,27 @@ def test_network_equals_direct_convolution(spark):
     assert {r.score for r in quality.score(odd(spark), 0.5).collect()} == {0.5}
 
 
+def test_quality_query_against_direct_computation(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    net = quality.fit(docs, labels, "quality")
+    got = {r.doc_id: r for r in queries.op5_quality(spark, sf).collect()}
+    for r in docs.orderBy(F.length("text")).limit(30).collect():
+        b = np.frombuffer((r.text or "").encode(), np.uint8)
+        x = net.vectors[np.append(b, np.zeros(quality.WIDTH, np.uint8))]
+        n, half = max(len(b), 1), quality.CHUNK // 2
+        seen = np.stack([x[i : i + quality.WIDTH].reshape(-1) @ net.filters + net.lift for i in range(n)])
+        logits = [np.maximum(seen[c * half : c * half + quality.CHUNK].max(0), 0) @ net.out + net.bias for c in range(max(-(-n // half) - 1, 1))]
+        z = net.mix[0] * np.mean(logits) + net.mix[1] * min(logits) + net.mix[2]
+        assert abs(got[r.doc_id].score - 1 / (1 + np.exp(-z))) < 1e-3 and got[r.doc_id].predicted == (got[r.doc_id].score >= 0.5)
+
+
+def test_training_chunks_cover_whole_texts():
+    texts = ["", "ab", "x" * 512, "y" * 513, "z" * 1300]
+    chunks, owner = quality.training_chunks(pa.array(texts, pa.large_string()))
+    assert owner.tolist() == [0, 1, 2, 3, 3, 4, 4, 4, 4, 4] and [int((c > 0).sum()) for c in chunks] == [0, 2, 512, 512, 257, 512, 512, 512, 512, 276]
+    assert quality._sample([5, 9, 3, 2], 8) == [0, 2] and quality._sample([9, 9], 8) == [0] and quality._sample([], 8) == []
+
+
 # Fingerprints
 
 
@@ -271,6 +300,18 @@ def test_token_ids_equal_the_tokenizer():
 KNOWN = packing._Ids(TOKENIZER)
 
 
+def test_tokenizers_that_need_whole_texts_get_them(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.WordLevel({"[UNK]": 0, "two words": 1, "Two": 2, "words": 3}, "[UNK]"))
+    other.pre_tokenizer = pre_tokenizers.Split("|", "removed")
+    other.save(str(tmp_path / "other.json"))
+    known = packing._Ids(str(tmp_path / "other.json"))
+    assert KNOWN.by_piece and not known.by_piece
+    ids, bounds = packing.token_ids(pa.array(["two words", "", "Two|words"], pa.large_string()), known)
+    assert ids.tolist() == [1, 2, 3] and bounds.tolist() == [0, 1, 1, 3]
+
+
 @settings(deadline=None, max_examples=100)
 @given(st.text(alphabet=st.characters(max_codepoint=0x250), max_size=40))
 def test_token_ids_of_any_text(text):
@@ -345,6 +386,38 @@ def test_cross_parsing_counts_phrases(known, text):
     assert round(got, 6) == brute_phrases(sym(text), sym(known))
 
 
+@pytest.mark.parametrize("block", [1, 3, 16])
+def test_cross_parsing_over_block_ends(monkeypatch, block):
+    monkeypatch.setattr(langid, "BLOCK", block)
+    draw = random.Random(block)
+    for known in ("ab" * 40, "abcabdabe" * 5, "".join(draw.choice("abc ") for _ in range(200))):
+        m = langid.Languages({"x": known, "y": known[::-1] + "e"})
+        texts = ["", "a", "ab" * 60, "ba" * 33 + "c", *("".join(draw.choice("abcde ") for _ in range(draw.randrange(150))) for _ in range(12))]
+        sym = lambda t: bytes(m.read([t])[0].tolist())
+        got = m.entropies(texts)
+        for i, t in enumerate(texts):
+            for j, name in enumerate(m.names):
+                want = brute_phrases(sym(t), sym({"x": known, "y": known[::-1] + "e"}[name]))
+                assert round(got[i, j] * max(len(sym(t)), 1) / m.bits[j], 6) == want, (t, name)
+
+
+def test_language_query_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = langid.training_text(docs, F.expr("crc32(cast(doc_id as string)) % 4 <> 2"))
+    m = langid.Languages(texts)
+    sym = lambda t: bytes(m.read([t])[0].tolist())
+    known = {k: sym(v) for k, v in texts.items()}
+    got = {r.doc_id: r for r in queries.op9_language(spark, sf).collect()}
+    for r in docs.orderBy(F.length("text")).limit(25).collect():
+        x = sym(r.text or "")
+        if not any(c.isalpha() for c in r.text or ""):
+            assert got[r.doc_id].lang_pred == "und" and got[r.doc_id].score == 0
+            continue
+        e = {k: brute_phrases(x, y) * np.log2(max(len(y), 2)) / len(x) for k, y in known.items()}
+        low, following = sorted(e.values())[:2]
+        assert got[r.doc_id].lang_pred == min(e, key=lambda k: (e[k], k)) and abs(got[r.doc_id].score - following / (low + following)) < 1e-9
+
+
 def test_language_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in queries.op9_language(spark, sf).collect()}
@@ -366,6 +439,9 @@ def test_training_takes_more_than_heads(spark):
     docs = spark.createDataFrame([(1, head + "quixotic tail", "en"), (1, head + "quixotic tail", "en"), (2, head + "vierte zeile", "de")], "doc_id bigint, text string, lang string")
     got = langid.training_text(docs, F.lit(True))
     assert "quixotic tail" in got["en"] and "vierte zeile" in got["de"]
+    long = spark.createDataFrame([(1, "x" * 31_000, "en"), (2, "y" * 31_000, "en"), (3, "z" * 500, "en"), (4, "w" * 99_000, "de")], "doc_id bigint, text string, lang string")
+    got = langid.training_text(long, F.lit(True))
+    assert sorted(map(len, got["en"].split())) == [500, 31_000] and got["de"] == "w" * langid.TRAIN_CHARS
     for sizes in ([10**6] * 128, [5, 10**6, 7], [0, 3], [], [40_000]):
         cut = langid.pieces(sizes)
         total = sum(b - a for a, b in cut) + max(len(sizes) - 1, 0)

@@ -70,6 +70,8 @@ def test_decontamination_edge_cases(spark, monkeypatch):
     assert got == want
     monkeypatch.setattr(decontam, "BLOCK_WORDS", 3)
     assert rows(decontam.decontaminate(table, bench)) == whole
+    monkeypatch.setattr(decontam, "HELD", 1)
+    assert rows(decontam.decontaminate(table, bench)) == whole
     near = {r.doc_id: r.near_items for r in decontam.decontaminate(table, bench, slop=1).collect()}
     assert near[11] == [] and near[16] == ["q1"]
     assert decontam.decontaminate(table.limit(0), bench).count() == 0
@@ -170,6 +172,7 @@ def test_license_scan_equals_brute_force(spark, sf):
     assert any(x[6] for x in got)
     assert licenses.scan(odd(spark)).count() == len(ODD)
     assert licenses.scan(table.limit(0)).count() == 0
+    assert {tuple(r.template_labels) for r in licenses.scan(table, templates=[("none", "...")]).collect()} == {()}
 
 
 def test_license_scan_finds_notices_at_every_place(spark):

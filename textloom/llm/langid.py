@@ -3,11 +3,13 @@
 Text is read as letters (lower case; rarer ones share a symbol) and single gaps. A language's automaton knows every
 substring of its training text; parsing with it takes the longest known phrase again and again. With c phrases for n
 symbols and N symbols of training text, c log2(N) / n estimates the cross entropy, and the lowest one wins. Parsing
-runs over whole texts, in blocks of ``BLOCK`` symbols side by side; a phrase also ends where its block does.
+runs over whole texts. Blocks of ``BLOCK`` symbols are parsed side by side as if each began a phrase; then the parse of
+the block before is carried over into each until the two agree, which they mostly do after a few symbols, and as they
+go on alike from there, the phrases are those of one parse from the text's beginning.
 
 Training text is bounded: at most ``TRAIN_DOCS`` documents a language, chosen by hash, and ``TRAIN_CHARS`` characters
-in all. Texts go in whole where that holds them; else longer ones give a piece each, of equal lengths and from places
-spread over the texts. Prediction reads everything.
+in all. Texts go in whole, in the order of their hashes, without those that don't fit in any more; only where no text
+of a language fits, pieces of one are taken. Prediction reads everything.
 
 Defined results: null text and text without letters: ``und`` with score 0; no training text at all: ``und``. Ties go
 to the language that sorts first. Repeated rows get a row each. Only ``doc_id``, ``text`` and (in training) ``lang``
@@ -52,6 +54,17 @@ def pieces(sizes: list[int], most: int = TRAIN_CHARS) -> list[tuple[int, int]]:
     return out
 
 
+def _taken(rows: list) -> list[tuple]:
+    """(row, start, end) of the texts of a language that training reads."""
+    left, out = TRAIN_CHARS, []
+    for r in rows:
+        # A space stands between texts.
+        if len(out) < TRAIN_DOCS and r["size"] + bool(out) <= left:
+            out.append((r, 0, r["size"]))
+            left -= r["size"] + (len(out) > 1)
+    return out or [(rows[0], *pieces([rows[0]["size"]])[0])]
+
+
 def training_text(documents: DataFrame, allowed: Column) -> dict[str, str]:
     """Text of each language from rows that ``allowed`` admits."""
     known = documents.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
@@ -65,8 +78,8 @@ def training_text(documents: DataFrame, allowed: Column) -> dict[str, str]:
     chosen: dict[str, list] = {}
     for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["rank"], r["doc_id"], r["size"], r["hash"])):
         chosen.setdefault(r["lang"], []).append(r)
-    # Sizes first, so that only the pieces come to the driver.
-    cuts = [(lang, r["doc_id"], r["hash"], i, a, b) for lang, x in chosen.items() for i, (r, (a, b)) in enumerate(zip(x[:TRAIN_DOCS], pieces([r["size"] for r in x[:TRAIN_DOCS]]), strict=True))]
+    # Sizes first, so that only the texts that are taken come to the driver.
+    cuts = [(lang, r["doc_id"], r["hash"], i, a, b) for lang, x in chosen.items() for i, (r, a, b) in enumerate(_taken(x))]
     table = documents.sparkSession.createDataFrame(cuts, "lang string, doc_id long, hash long, i long, a int, b int")
     taken = known.withColumn("hash", F.xxhash64("text")).join(F.broadcast(table), ["lang", "doc_id", "hash"]).select("lang", "i", F.expr("substring(text, a + 1, b - a)").alias("piece"))
     found: dict[str, dict[int, str]] = {}
@@ -145,9 +158,15 @@ class Languages:
         n = np.diff(bounds)
         blocks = -(-n // BLOCK)
         doc = np.repeat(np.arange(len(texts)), blocks)
-        first = bounds[:-1][doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK
+        nth = np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        first = bounds[:-1][doc] + nth * BLOCK
         size = np.minimum(bounds[1:][doc] - first, BLOCK)
         order = np.argsort(-size, kind="stable")
+        # Which lane holds the block before each lane's and the one after it (-1: none).
+        lane = np.empty(len(doc), np.int64)
+        lane[order] = np.arange(len(doc))
+        before = np.where(nth > 0, np.roll(lane, 1), -1)[order]
+        after = np.where(nth + 1 < blocks[doc], np.roll(lane, -1), -1)[order]
         doc, first, size = doc[order], first[order], size[order]
         phrases = np.zeros((len(texts), len(self.names)))
         if len(doc):
@@ -155,18 +174,50 @@ class Languages:
             lanes = np.searchsorted(-size, -steps, "left")  # blocks longer than each step
             at = [x[first[:k] + t].astype(np.int32) for t, k in zip(steps.tolist(), lanes.tolist(), strict=True)]
             for i, table in enumerate(self.tables):
-                root = table[: self.width]
-                state, count = np.zeros(len(doc), np.int32), np.zeros(len(doc), np.int32)
-                for c in at:
-                    k = len(c)
-                    to = table[state[:k] * self.width + c]
-                    miss = to == 0
-                    # A phrase begins where the last one can't go on, and at the root.
-                    count[:k] += miss | (state[:k] == 0)
-                    state[:k] = np.where(miss, root[c], to)
-                phrases[:, i] = np.bincount(doc, count, len(texts))
+                phrases[:, i] = np.bincount(doc, self._phrases(table, at, size, before, after), len(texts))
         return phrases * np.array(self.bits) / np.maximum(n, 1)[:, None]
 
+    def _phrases(self, table: np.ndarray, at: list[np.ndarray], size: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Phrases that begin in each block. ``at`` has the symbols of all blocks that are long enough, by step."""
+        root = table[: self.width]
+
+        def step(state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The states after a symbol, and where a phrase begins: where the last can't go on, and at the root."""
+            to = table[state * self.width + c]
+            miss = to == 0
+            return np.where(miss, root[c], to), miss | (state == 0)
+
+        carried = np.flatnonzero(before >= 0)
+        state, count = np.zeros(len(size), np.int32), np.zeros(len(size), np.int64)
+        states, begins = [], []
+        for c in at:
+            k = len(c)
+            state[:k], begin = step(state[:k], c)
+            count[:k] += begin
+            if len(carried):
+                states.append(state[:k].copy())
+                begins.append(begin)
+        end, more = state.copy(), np.zeros(len(size), np.int64)
+        while len(carried):
+            live, now, gain, ends = np.arange(len(carried)), end[before[carried]], np.zeros(len(carried), np.int64), state[carried]
+            t = 0
+            while len(live):
+                own = carried[live]
+                over = size[own] <= t  # never the same state: the block ends in another one
+                ends[live[over]] = now[over]
+                live, now, own = live[~over], now[~over], own[~over]
+                if not len(live):
+                    break
+                now, begin = step(now, at[t][own])
+                gain[live] += begin.astype(np.int64) - begins[t][own]
+                apart = now != states[t][own]
+                live, now, t = live[apart], now[apart], t + 1
+            more[carried] = gain
+            changed = carried[ends != end[carried]]
+            end[carried] = ends
+            carried = after[changed][after[changed] >= 0]
+        return count + more
+
 
 _built: dict[str, Languages] = {}
 

@@ -8,7 +8,8 @@ template's length at half overlap, so any passage as long as a template lies who
 
 The template library is fixed text of this module (or a parameter of bounded size), so it goes out by broadcast.
 
-Defined results: null text is empty; documents without words get zeros and nulls; repeated rows get a row each;
+Defined results: null text is empty; documents without words get zeros and nulls; repeated rows get a row each; a
+template without words is left out, and a library without templates finds phrases only;
 only ``doc_id`` and ``text`` are read.
 """
 
@@ -87,7 +88,7 @@ class _Templates:
         self.keys = np.array(sorted(self.prefix), np.uint64)
         self.sets = [set(t) for t in self.ordered]
         #: Twice the most words, repeated ones counted, of a template.
-        self.window = 2 * max(len(_hashes(text)) for _, text in templates)
+        self.window = 2 * max((len(_hashes(text)) for _, text in templates), default=1)
 
 
 def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
@@ -96,8 +97,9 @@ def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phr
     Returns doc_id, n_words, n_base, first_word, last_word, base_labels and template_labels (sorted arrays),
     containment (the largest share of a template's words that a matching block has, else 0).
     """
-    vocab = np.unique(np.concatenate([_hashes(t) for _, t in templates]))
-    lib = _Templates(templates, threshold, frequencies(documents, vocab))
+    templates = [(label, t) for label, t in templates if len(_hashes(t))]
+    vocab = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_hashes(t) for _, t in templates)]))
+    lib = _Templates(templates, threshold, frequencies(documents, vocab) if len(vocab) else {})
     spoken = [(_hashes(p), label) for p, label in phrases.items()]
     step = lib.window // 2
 
@@ -122,7 +124,7 @@ def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phr
                     said[d].add(label)
             labels: list[set[str]] = [set() for _ in n]
             share = np.zeros(len(n))
-            at = np.flatnonzero(lib.keys[np.minimum(np.searchsorted(lib.keys, h), len(lib.keys) - 1)] == h)
+            at = np.flatnonzero(lib.keys[np.minimum(np.searchsorted(lib.keys, h), len(lib.keys) - 1)] == h) if len(lib.keys) else np.zeros(0, np.int64)
             tried: set[tuple[int, int, int]] = set()
             sets: dict[tuple[int, int], set[int]] = {}
             for i in at.tolist():

@@ -4,11 +4,14 @@ Documents are tokenised whole by a given tokenizer file, get an end token, and o
 cut. Pieces are dealt by hash into shards of bounded size; each shard is packed best-fit decreasing, then searched:
 pieces move between underfull sequences, or are exchanged one for one or two for one, whenever that raises the sum of
 squared fills, so full sequences fill up and others empty. The sequences that a shard leaves underfull meet those of
-other shards in further levels, where they are packed again, so the loss doesn't grow with the number of shards.
+other shards in up to ``LEVELS`` further levels, where they are packed again, so the loss doesn't grow with the number
+of shards; what the last level leaves underfull stays as it is.
 
 Tokenising splits texts at ASCII white space, and chunks of ASCII and Latin-1 letters further into the runs that the
 tokenizer cuts them into; each distinct piece is given to the tokenizer once a worker and kept under its 64-bit hash.
-All other chunks are given to it whole. Its words never span white space, so the ids are those of the whole text.
+All other chunks are given to it whole. That gives the ids of the whole text if the tokenizer lower-cases, its words
+never span white space, and letters, single digits and signs are words apart; each worker tries this with ``PROBES``,
+and gives texts whole to a tokenizer for which it doesn't hold.
 
 Defined results: null and empty texts are documents of the end token alone; repeated rows are packed each; a row
 without doc_id is packed too. Only ``doc_id`` and ``text`` are read.
@@ -36,6 +39,8 @@ SHARD = 8192
 KEEP = 1 << 20
 #: A sequence filled to this share is left as it is.
 FULL = 0.999
+#: Further levels of packing.
+LEVELS = 6
 
 _B = np.arange(256)
 # Classes of bytes: 0 white space, 1 letters, 2 digits, 3 other ASCII signs, 4 whatever the tokenizer must see whole.
@@ -48,6 +53,12 @@ _KIND[[0x27, 0x3C]] = 4  # ' starts contractions, < starts special tokens
 _CODE = np.random.default_rng(20240301).integers(1, 2**63, 256, dtype=np.uint64)
 
 
+#: Texts whose ids show whether a tokenizer works on pieces as described above.
+PROBES = [
+    "", " a", "Two words", "two  words ", "MiXed CASE", "12 4.5__8 (x)y[z]", "don't l'eau 'S", "a,b;c!? -- d", "\ttab\nline\r\nend", "ÀÉ×÷ß été", "x2y 3z", "a\x0bb\x0cc", "日本語 a日b", "ends with.",
+]
+
+
 class _Ids:
     """Token ids of distinct words, by hash."""
 
@@ -59,6 +70,9 @@ class _Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.clear()
+        probes = pa.array(PROBES, pa.large_string())
+        #: Whether ids of pieces are those of the whole.
+        self.by_piece = all(np.array_equal(a, b) for a, b in zip(_piecewise(probes, self), whole_ids(probes, self), strict=True))
 
     def clear(self) -> None:
         empty = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -103,6 +117,17 @@ class _Ids:
 
 def token_ids(col: pa.Array, known: _Ids) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end (uint32), and their bounds."""
+    return (_piecewise if known.by_piece else whole_ids)(col, known)
+
+
+def whole_ids(col: pa.Array, known: _Ids) -> tuple[np.ndarray, np.ndarray]:
+    """``token_ids`` of texts that the tokenizer gets whole."""
+    got = [e.ids for e in known.tokenizer.encode_batch_fast(col.to_pylist(), add_special_tokens=False)]
+    return np.array([i for x in got for i in x], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in got], dtype=np.int64)]).astype(np.int64)
+
+
+def _piecewise(col: pa.Array, known: _Ids) -> tuple[np.ndarray, np.ndarray]:
+    """``token_ids`` of texts whose pieces the tokenizer gets."""
     data, off = raw(col)
     n = len(data)
     if not n:
@@ -191,8 +216,9 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
 def local_search(bins: list[list[int]], lengths: list[int], size: int, rounds: int = 8, givers: int = 32) -> list[list[int]]:
     """Moves and exchanges of pieces between underfull sequences that raise the sum of squared fills.
 
-    Each step moves tokens from a sequence into one that is at least as full, which raises the sum; the search ends
-    when no step does. Fullest sequences are filled first, from the ``givers`` emptiest ones.
+    Each step moves tokens from a sequence into one that is at least as full, which raises the sum. Fullest sequences
+    are filled first, each from the ``givers`` emptiest ones. The search ends when a pass over all has no step, or
+    after ``rounds`` passes: a bound on its time, not on what is packed.
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
     for _ in range(rounds):
@@ -288,7 +314,7 @@ def pack(documents: DataFrame, tokenizer: str, size: int = SEQUENCE, shard_piece
         shards = max(1, round(count / shard_pieces))
         packed = materialise(_pack_shards(rest.withColumn("shard", F.expr(f"pmod(xxhash64(nth, {level}), {shards})")), "shard", size), "packed")
         full = F.col("fill") >= FULL * size
-        last = shards == 1 or level == 6
+        last = shards == 1 or level == LEVELS
         name = F.expr(f"shiftleft({level}L, 58) + shiftleft(shard, 20) + bin")
         out = out.union(packed.where(F.lit(True) if last else full).select(*kept, name.alias("sequence_id"), "offset"))
         if last:

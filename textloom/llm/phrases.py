@@ -20,6 +20,7 @@ without doc_id come first. Rows that share a doc_id follow each other by the has
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,10 +128,11 @@ def edit(text: str, following: str) -> str:
 _RESULT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _compare(ids: list, texts: list[str], following: list[str]) -> pa.RecordBatch:
-    """Results for texts, each with the one that follows it."""
-    edited = [edit(a, b) for a, b in zip(texts, following, strict=True)]
-    own, nxt, new = (sketches(pa.array(x, pa.large_string())) for x in (texts, following, edited))
+def _compare(ids: list, texts: list[str]) -> pa.RecordBatch:
+    """Results for all texts but the last, each with the one that follows it."""
+    edited = [edit(a, b) for a, b in itertools.pairwise(texts)]
+    each, new = (sketches(pa.array(x, pa.large_string())) for x in (texts, edited))
+    own, nxt, texts = each[:-1], each[1:], texts[:-1]
     return pa.RecordBatch.from_arrays(
         [
             pa.array(ids, pa.int64()),
@@ -175,7 +177,7 @@ def neighbours(documents: DataFrame) -> DataFrame:
                 ids, texts = [held[0], *ids], [held[1], *texts]
             held = ids[-1], texts[-1]
             if len(ids) > 1:
-                found = _compare(ids[:-1], texts[:-1], texts[1:])
+                found = _compare(ids[:-1], texts)
                 n = found.num_rows
                 yield pa.RecordBatch.from_arrays([*found.columns, pa.array([part] * n, pa.int32()), pa.array(["row"] * n), pa.nulls(n, pa.string())], names=[x.split()[0] for x in fields.split(", ")])
         if held is not None:
@@ -192,7 +194,7 @@ def neighbours(documents: DataFrame) -> DataFrame:
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield _compare(*(column(batch, k).to_pylist() for k in ("doc_id", "text", "following")))
+            for i, a, b in zip(*(column(batch, k).to_pylist() for k in ("doc_id", "text", "following")), strict=True):
+                yield _compare([i], [a, b])
 
     return rows.union(tails.join(heads, "after").select("doc_id", "text", "following").mapInArrow(across, _RESULT))

@@ -30,6 +30,7 @@ their contexts count once; only ``doc_id`` and ``text`` are read and other colum
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import zlib
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-from ._shared import column, materialise, slices
+from ._shared import column, materialise, scratch, slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kind of the spans that the method adds.
@@ -109,15 +110,24 @@ def entity(kind: int, value: str) -> str:
     return value.lower() if kind == 0 else f"{KINDS[kind]}:" + "".join(_DIGIT.findall(value)) if kind != 1 else f"ip:{value}"
 
 
-def _context(text: str, start: int, end: int, spans: list[tuple[int, int, int]]) -> list[str]:
-    """Lower-cased words near a span, none of them within any span; at most ``WINDOW`` on each side."""
-    reach = 64 * WINDOW
-    low = max(0, start - reach)
-    before = [(m.start(), m.end()) for m in _WORD.finditer(text, low, start) if m.start() > low or low == 0]
-    high = min(len(text), end + reach)
-    after = [(m.start(), m.end()) for m in _WORD.finditer(text, end, high) if m.end() < high or high == len(text)]
-    near = [(s, e) for s, _, e in spans if e > low and s < high]
-    return [text[a:b].lower() for a, b in before[-WINDOW:] + after[:WINDOW] if not any(a < e and s < b for s, e in near)]
+def _outside(text: str, spans: list[tuple[int, int, int]]) -> Iterator[re.Match]:
+    """The words of a text that no span touches."""
+    k = 0
+    for m in _WORD.finditer(text):
+        while k < len(spans) and spans[k][2] <= m.start():
+            k += 1
+        # Spans are ordered by their starts: if this one, the first that ends later, doesn't touch the word, none does.
+        if k == len(spans) or spans[k][0] >= m.end():
+            yield m
+
+
+def _contexts(text: str, spans: list[tuple[int, int, int]]) -> Iterator[list[str]]:
+    """For each span the ``WINDOW`` nearest words on each side that are outside all spans, lower-cased."""
+    free = [m.span() for m in _outside(text, spans)] if spans else []
+    starts = [a for a, _ in free]
+    for start, _, end in spans:
+        i, j = bisect.bisect_left(starts, start), bisect.bisect_left(starts, end)
+        yield [text[a:b].lower() for a, b in free[max(i - WINDOW, 0) : i] + free[j : j + WINDOW]]
 
 
 def _digest(text: str) -> int:
@@ -133,8 +143,8 @@ def contexts(documents: DataFrame) -> DataFrame:
             for text in col.to_pylist():
                 spans = base_spans(text)
                 whole = _digest(text) if spans else 0
-                for start, kind, end in spans:
-                    near = sorted(set(_context(text, start, end, spans)))
+                for (start, kind, end), near in zip(spans, _contexts(text, spans), strict=True):
+                    near = sorted(set(near))
                     who.append(entity(kind, text[start:end]))
                     doc.append(whole)
                     digest.append(_digest("\0".join(near)))
@@ -227,15 +237,7 @@ def _term_spans(text: str, degree: dict[str, float], base: list[tuple[int, int,
     """(start, end, degree) of disclosing terms outside the base spans."""
     if not degree or degree.keys().isdisjoint(_words(text)):
         return []
-    out, k = [], 0
-    for m in _WORD.finditer(text):
-        d = degree.get(m[0].lower())
-        if d is not None:
-            while k < len(base) and base[k][2] <= m.start():
-                k += 1
-            if not any(s < m.end() and m.start() < e for s, _, e in base[k : k + 8]):
-                out.append((m.start(), m.end(), d))
-    return out
+    return [(m.start(), m.end(), d) for m in _outside(text, base) if (d := degree.get(m[0].lower())) is not None]
 
 
 def placeholder(word: str) -> str:
@@ -259,7 +261,9 @@ def clean_text(text: str, base: list[tuple[int, int, int]], terms: list[tuple[in
 def sanitise(documents: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """All columns of ``documents`` in a struct ``row``, with spans (array of kind, start, end), base (array of the
     same for base findings) and clean (the sanitised text; null text stays null)."""
-    found = materialise(disclosing_terms(documents, generalise_at), "disclosing")
+    with scratch(documents.sparkSession) as made:
+        found = materialise(disclosing_terms(documents, generalise_at), "disclosing")
+        made.pop()
     count = found.count()
     source = documents.select("doc_id", "text", F.struct("*").alias("row"))
     span = S.ArrayType(S.StructType().add("kind", "string").add("start", "long").add("end", "long"))

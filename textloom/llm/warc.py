@@ -3,9 +3,10 @@
 ``write`` puts one record per page into gzip-member WARC files in shared storage, one file a task. Of records with
 equal payloads of at least ``LEAST`` bytes the one with the largest page_id is the response; the others are revisits
 that refer to it. Every task also gives its capture lines (URL key, time, place in the file) in sorted order: a local
-run. ``merge`` deals the runs out by ranges of (URL key, time, page), and each range merges its parts of the runs with
-a tree of losers, which takes one comparison a level for each line; ranges follow each other, so the whole history is
-in order. ``read_back`` opens the records through the index and parses them.
+run. ``merge`` deals the runs out by ranges of (URL key, time, page) of about ``RANGE_LINES`` lines, however many runs
+there are, and each range merges its parts of the runs with a tree of losers, which takes one comparison a level for
+each line. Parts stay in Arrow buffers and are read as streams. Ranges follow each other, so the whole history is in
+order. ``read_back`` opens the records through the index and parses them.
 
 A file carries the task attempt in its name and only files that finished tasks report are ever read, so a task that is
 run again does no harm. Files are written through the file system of the folder's URI.
@@ -21,11 +22,13 @@ from __future__ import annotations
 import base64
 import datetime
 import hashlib
+import itertools
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
@@ -36,6 +39,8 @@ from ._shared import column, materialise, slices, width, workdir
 
 LEAST = 1000
 LEVEL = 4
+#: Lines of the index that one merge has in memory, about, and lines of a run that it unpacks at a time.
+RANGE_LINES, AT_ONCE = 200_000, 256
 #: The upper half of record ids; the lower half is the page_id.
 _NAMESPACE = 0x5F3C1B7E9A4D4C21
 _START = datetime.datetime(2020, 1, 1, tzinfo=datetime.UTC)
@@ -99,7 +104,11 @@ _TYPES = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64
 
 
 def deduplicated(pages: DataFrame) -> DataFrame:
-    """Pages with digest (SHA-1 of the payload, hex), record_type and refers_to."""
+    """Pages with digest (SHA-1 of the payload, hex), record_type and refers_to.
+
+    Only payloads that come more than once have a row on the other side. Where that side can't be broadcast, pages are
+    dealt by digest; the pages of one frequent payload then are many, and are split, as any page can be joined alone.
+    """
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
     large = F.octet_length("html") >= LEAST
     groups = p.where(large).groupBy("digest").agg(F.max("page_id").alias("answer"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -142,14 +151,14 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     return pages.mapInArrow(archive, _LINE)
 
 
-def loser_merge(runs: list[list[tuple]]) -> Iterator[tuple]:
+def loser_merge(runs: list[Iterable[tuple]]) -> Iterator[tuple]:
     """Merges sorted runs with a tree of losers: inner nodes hold the loser of the match below, the root the winner."""
     k = len(runs)
     if k <= 1:
         yield from runs[0] if runs else ()
         return
-    at = [0] * k
-    front: list[tuple | None] = [r[0] if r else None for r in runs]
+    streams = [iter(r) for r in runs]
+    front: list[tuple | None] = [next(r, None) for r in streams]
 
     def beats(a: int, b: int) -> bool:
         """Whether run a's front goes before run b's; an ended run loses to all, ties go to the lower run."""
@@ -165,8 +174,7 @@ def loser_merge(runs: list[list[tuple]]) -> Iterator[tuple]:
     top = winner[1]
     while front[top] is not None:
         yield front[top]
-        at[top] += 1
-        front[top] = runs[top][at[top]] if at[top] < len(runs[top]) else None
+        front[top] = next(streams[top], None)
         node = (top + k) // 2
         while node:
             if beats(loser[node], top):
@@ -175,15 +183,25 @@ def loser_merge(runs: list[list[tuple]]) -> Iterator[tuple]:
 
 
 def merge(runs: DataFrame) -> DataFrame:
-    """The lines of all runs in one order of (urlkey, ts, page_id); ``capture`` counts a URL's captures within a range."""
-    ranged = runs.repartitionByRange(width(runs.sparkSession), "urlkey", "ts", "page_id").sortWithinPartitions("run", "urlkey", "ts", "page_id")
+    """The lines of all runs in one order of (urlkey, ts, page_id)."""
+    ranges = max(width(runs.sparkSession), -(-runs.count() // RANGE_LINES))
+    ranged = runs.repartitionByRange(ranges, "urlkey", "ts", "page_id").sortWithinPartitions("run", "urlkey", "ts", "page_id")
+
+    def stream(part: list[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in part:
+            for i in range(0, batch.num_rows, AT_ONCE):
+                for r in zip(*(c.to_pylist() for c in batch.slice(i, AT_ONCE).columns), strict=True):
+                    yield ((r[1], r[2], -(2**63) if r[3] is None else r[3]), *r)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[tuple]] = {}
+        parts: dict[int, list[pa.RecordBatch]] = {}
         for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                parts.setdefault(r[0], []).append(((r[1], r[2], -(2**63) if r[3] is None else r[3]), *r))
-        lines = (r[1:] for r in loser_merge(list(parts.values())))
+            run = column(batch, "run").to_numpy()
+            cuts = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(run)]
+            for a, b in itertools.pairwise(cuts):
+                if b > a:
+                    parts.setdefault(int(run[a]), []).append(batch.slice(a, b - a))
+        lines = (r[1:] for r in loser_merge([stream(p) for p in parts.values()]))
         block: list[tuple] = []
         for r in lines:
             block.append(r)
