@@ -4,7 +4,9 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
+import pytest
 
 from textloom.llm import decontam, licenses, neardup, queries
 
@@ -185,3 +187,16 @@ def test_license_scan_finds_notices_at_every_place(spark):
         spots = [set(w[i : i + longest]) for i in range(len(w))]
         want = {label for label, t in licenses.TEMPLATES if any(len(b & set(words(t))) >= licenses.THRESHOLD * len(set(words(t))) - 1e-9 for b in spots)}
         assert want == {"mit"} and want <= set(got[doc]), doc
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_its_sql(spark, sf, name):
+    duck = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        duck.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    got = queries.queries()[name](spark, sf)
+    want = duck.sql(queries.oracle_sql()[name])
+    assert sorted(want.columns) == sorted(got.columns)
+    cell = lambda v: round(v, 9) if isinstance(v, float) else v
+    cols = sorted(got.columns)
+    assert sorted((tuple(cell(r[c]) for c in cols) for r in got.collect()), key=str) == sorted((tuple(map(cell, r)) for r in want.select(*cols).fetchall()), key=str)

@@ -115,6 +115,17 @@ class _Ids:
         return at, n, have
 
 
+_loaded: dict[str, _Ids] = {}
+
+
+def ids_of(path: str) -> _Ids:
+    """The tokenizer of a file with the words it has seen, kept over the tasks of a worker."""
+    if path not in _loaded:
+        _loaded.clear()
+        _loaded[path] = _Ids(path)
+    return _loaded[path]
+
+
 def token_ids(col: pa.Array, known: _Ids) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end (uint32), and their bounds."""
     return (_piecewise if known.by_piece else whole_ids)(col, known)
@@ -181,7 +192,7 @@ def pieces(documents: DataFrame, tokenizer: str, size: int = SEQUENCE) -> DataFr
     """doc_id, piece, start, length, ids_crc32 of each document's pieces."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Ids(tokenizer)
+        known = ids_of(tokenizer)
         for batch, col in slices(batches, "text"):
             ids, bounds = token_ids(col, known)
             docs, rows = column(batch, "doc_id").to_pylist(), []

@@ -17,7 +17,8 @@ e is smoothed by ``PRIOR`` texts that show e as often as the corpus does:
 
     p(e | t) = (d_et + PRIOR d_e / D) / (d_t + PRIOR)        PMI(t, e) = log2(p(e | t) D / d_e)
 
-A pair counts only if both quotients reach ``generalise_at``.
+A pair counts only if both quotients reach ``generalise_at`` and p(e | t) reaches ``LIKELY``. The last doesn't loosen as
+the corpus grows: a term that stands in more texts away from an entity than near it doesn't reveal it.
 
 The passes read each text whole. Shuffled are the texts, once, to find the distinct ones; the terms near mentions; and
 counts of words, pre-aggregated a task. Which words to count goes out as a bitmap of fixed size. The list of disclosing
@@ -53,6 +54,8 @@ WINDOW = 8
 #: Texts that smooth a share: half a one, as in the Jeffreys prior.
 PRIOR = 0.5
 GENERALISE_AT, REMOVE_AT = 0.9, 0.995
+#: The least share of a term's texts that show the entity.
+LIKELY = 0.5
 BROADCAST_TERMS = 100_000
 #: Bits of the bitmap of words that are counted, and words that a task holds before it passes their counts on.
 BITS, HELD_WORDS = 1 << 20, 200_000
@@ -213,7 +216,7 @@ def disclosing_terms(documents: DataFrame, at: float = GENERALISE_AT) -> DataFra
     pmi = F.log2(F.col("n_et") * all_contexts / (F.col("n_e") * F.col("n_t")))
     share = (F.col("d_et") + PRIOR * F.col("d_e") / all_texts) / (F.col("d_t") + PRIOR)
     wide = F.try_divide(F.log2(share * all_texts / F.col("d_e")), F.log2(all_texts / F.col("d_e")))
-    judged = joined.where(ic > 0).withColumn("degree", pmi / ic).where((F.col("degree") >= at) & (wide >= at))
+    judged = joined.where(ic > 0).withColumn("degree", pmi / ic).where((F.col("degree") >= at) & (wide >= at) & (share >= LIKELY))
     return judged.groupBy("term").agg(F.max("degree").alias("degree"))
 
 

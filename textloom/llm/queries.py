@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,5 +149,34 @@ from documents left join n using (doc_id) left join m using (doc_id)
 """
 
 
+def _words(text: str) -> list[str]:
+    return re.findall(r"[0-9a-z]+", text.lower())
+
+
+def _op10_sql() -> str:
+    """Phrases by their places; templates by common words with each block of twice the longest template, half overlapping."""
+    quoted = lambda words: "[" + ", ".join(f"'{x}'" for x in words) + "]"
+    step = max(len(_words(t)) for _, t in licenses.TEMPLATES)
+    phrases = sorted((label, _words(p)) for p, label in licenses.PHRASES.items())
+    places = ", ".join(f"list_filter(range(1, len(w) + 1), lambda i: w[i:i + {len(p) - 1}] = {quoted(p)}) as p{k}" for k, (_, p) in enumerate(phrases))
+    every = " || ".join(f"p{k}" for k in range(len(phrases)))
+    said = ", ".join(f"case when len(p{k}) > 0 then '{label}' end" for k, (label, _) in enumerate(phrases))
+    sets = [(label, sorted(set(_words(t)))) for label, t in licenses.TEMPLATES]
+    known = ", ".join(f"('{label}', {quoted(t)}, {math.ceil(licenses.THRESHOLD * len(t) - 1e-9)})" for label, t in sets)
+    return rf"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+p as (select *, {places} from d),
+base as (select *, {every} as spots, list_filter([{said}], lambda x: x is not null) as said from p),
+t(label, words, need) as (values {known}),
+block as (select r, list_distinct(w[b + 1:b + {2 * step}]) as b from (select r, w, unnest(range(0, len(w), {step})) as b from d)),
+m as (select r, label, len(list_intersect(b, words)) as c, len(words) as n from block, t where len(list_intersect(b, words)) >= need),
+found as (select r, list_distinct(list(label)) as labels, max(c / n::double) as share from m group by r)
+select doc_id, len(w)::bigint as n_words, len(spots)::bigint as n_base, (list_min(spots) - 1)::bigint as first_word, (list_max(spots) - 1)::bigint as last_word,
+  array_to_string(said, ',') as base_labels, array_to_string(list_sort(list_distinct(list_concat(said, coalesce(labels, [])))), ',') as labels,
+  case when len(spots) > 0 then 1.0::double else coalesce(share, 0) end as score
+from base left join found using (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": _OP1_SQL, "op3_decontaminate": _OP3_SQL, "op7_near_duplicates": _OP7_SQL}
+    return {"op1_warc": _OP1_SQL, "op3_decontaminate": _OP3_SQL, "op7_near_duplicates": _OP7_SQL, "op10_license_scan": _op10_sql()}
