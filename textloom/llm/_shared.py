@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -103,15 +104,21 @@ def raw(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], name: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Record batches cut so that the texts of each hold about ``most`` bytes, with those texts."""
-    for batch in batches:
-        col = texts_of(batch, name)
-        _, off = raw(col)
-        at, n = 0, len(col)
-        while at < n:
-            to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
-            yield batch.slice(at, to - at), col.slice(at, to - at)
-            at = to
+    """Record batches cut so that the texts of each hold about ``most`` bytes, with those texts. At the end the worker,
+    which may wait long for its next task, gives back the memory that it has freed."""
+    try:
+        for batch in batches:
+            col = texts_of(batch, name)
+            _, off = raw(col)
+            at, n = 0, len(col)
+            while at < n:
+                to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
+                yield batch.slice(at, to - at), col.slice(at, to - at)
+                at = to
+    finally:
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # a C library without it
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

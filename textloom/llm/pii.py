@@ -21,7 +21,9 @@ A pair counts only if both quotients reach ``generalise_at`` and p(e | t) reache
 the corpus grows: a term that stands in more texts away from an entity than near it doesn't reveal it.
 
 The passes read each text whole. Shuffled are the texts, once, to find the distinct ones; the terms near mentions; and
-counts of words, pre-aggregated a task. Which words to count goes out as a bitmap of fixed size. The list of disclosing
+counts of words, pre-aggregated a task. Counted are only terms that pass by contexts, first in one of ``PARTS`` parts of
+the texts: where a term is found in more texts there than it can have in all and still be likely, it is dropped, and the
+other parts count what is left. Which words to count goes out as a bitmap of bounded size. The list of disclosing
 terms is broadcast while it holds at most ``BROADCAST_TERMS``; a longer one is joined with the words of all texts
 instead.
 
@@ -34,11 +36,12 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -57,8 +60,12 @@ GENERALISE_AT, REMOVE_AT = 0.9, 0.995
 #: The least share of a term's texts that show the entity.
 LIKELY = 0.5
 BROADCAST_TERMS = 100_000
-#: Bits of the bitmap of words that are counted, and words that a task holds before it passes their counts on.
-BITS, HELD_WORDS = 1 << 20, 200_000
+#: Bits of the bitmap of words that are counted: so many a term, and in all (8 MB).
+BITS_A_TERM, MOST_BITS = 32, 1 << 26
+#: Words that a task holds before it passes their counts on.
+HELD_WORDS = 200_000
+#: One of so many parts of the texts is counted first.
+PARTS = 16
 
 # The base patterns. They are matched leftmost and non-overlapping, in forms that never go over a run of
 # characters twice: possessive repeats, and for emails the part before the @ is walked back from it.
@@ -157,17 +164,25 @@ def contexts(documents: DataFrame) -> DataFrame:
     return documents.select("text").mapInArrow(find, "entity string, doc bigint, context bigint, terms array<string>")
 
 
-def _bitmap(terms: DataFrame) -> bytes:
-    """One bit for each remainder of crc32 that a term has: ``BITS`` of them, however many terms there are."""
-    bits = bytearray(BITS // 8)
-    for r in terms.select((F.crc32(F.col("term").cast("binary")) % BITS).alias("b")).distinct().collect():
-        bits[r["b"] >> 3] |= 1 << (r["b"] & 7)
-    return bytes(bits)
+class _Filter:
+    """Says of words whether they may be among given terms: two bits for each, in a bitmap of bounded size."""
 
+    def __init__(self, terms: DataFrame) -> None:
+        n = terms.count()
+        size = min(1 << max(BITS_A_TERM * n - 1, 63).bit_length(), MOST_BITS)
+        h = F.xxhash64("term")
+        place = terms.select(F.explode(F.array(h.bitwiseAND(size - 1), F.shiftrightunsigned(h, 32).bitwiseAND(size - 1))).alias("p"))
+        words = place.groupBy(F.expr("shiftright(p, 6)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v")).toArrow()
+        self.bits = np.zeros(size // 64, np.uint64)
+        self.bits[words["w"].to_numpy()] = words["v"].to_numpy().view(np.uint64)
 
-def _in(bits: bytes, term: str) -> bool:
-    b = zlib.crc32(term.encode(errors="replace")) % BITS
-    return bool(bits[b >> 3] >> (b & 7) & 1)
+    def has(self, words: list[str]) -> np.ndarray:
+        h = np.fromiter((xxhash.xxh64_intdigest(w.encode(errors="replace"), 42) for w in words), np.uint64, len(words))
+        ok = np.ones(len(h), bool)
+        for p in (h, h >> np.uint64(32)):
+            p = p & np.uint64(64 * len(self.bits) - 1)
+            ok &= (self.bits[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return ok
 
 
 def _words(text: str) -> set[str]:
@@ -177,22 +192,24 @@ def _words(text: str) -> set[str]:
 
 def text_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
     """term, d_t: the distinct texts that hold each of ``terms`` (and some words more); for null, all distinct texts."""
-    sent = documents.sparkSession.sparkContext.broadcast(_bitmap(terms))
+    sent = documents.sparkSession.sparkContext.broadcast(_Filter(terms))
 
-    def rows(held: Counter) -> pa.RecordBatch:
-        kept = [(t, n) for t, n in held.items() if t is None or _in(sent.value, t)]
-        return pa.RecordBatch.from_arrays([pa.array([t for t, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["term", "d_t"])
+    def rows(held: Counter, texts: int) -> pa.RecordBatch:
+        words = list(held)
+        kept = [w for w, ok in zip(words, sent.value.has(words), strict=True) if ok]
+        return pa.RecordBatch.from_arrays([pa.array([*kept, None], pa.string()), pa.array([*(held[w] for w in kept), texts], pa.int64())], names=["term", "d_t"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
+        texts = 0
         for _, col in slices(batches, "text"):
-            held[None] += len(col)
+            texts += len(col)
             for text in col.to_pylist():
                 held.update(_words(text))
                 if len(held) > HELD_WORDS:
-                    yield rows(held)
-                    held = Counter()
-        yield rows(held)
+                    yield rows(held, texts)
+                    held, texts = Counter(), 0
+        yield rows(held, texts)
 
     distinct = documents.select(F.coalesce("text", F.lit("")).alias("text")).distinct()
     return distinct.mapInArrow(count, "term string, d_t bigint").groupBy("term").agg(F.sum("d_t").alias("d_t"))
@@ -202,36 +219,41 @@ def disclosing_terms(documents: DataFrame, at: float = GENERALISE_AT) -> DataFra
     """term, degree: the largest PMI / IC over the entities that a term reveals, where it reaches ``at`` both over
     contexts (the degree given) and over the texts of the corpus."""
     seen = materialise(contexts(documents).dropDuplicates(["entity", "doc", "context"]), "contexts")
-    distinct = seen.dropDuplicates(["entity", "context"])
+    total = seen.dropDuplicates(["entity", "context"]).count()
     n_e = seen.groupBy("entity").agg(F.countDistinct("context").alias("n_e"), F.countDistinct("doc").alias("d_e"))
     each = seen.select("entity", "doc", "context", F.explode("terms").alias("term"))
     pairs = each.groupBy("entity", "term").agg(F.countDistinct("context").alias("n_et"), F.countDistinct("doc").alias("d_et"))
     pairs = materialise(pairs, "pairs")
     n_t = pairs.groupBy("term").agg(F.sum("n_et").alias("n_t"))
-    counts = materialise(text_counts(documents, pairs.select("term")), "counts")
-    total, texts = distinct.count(), counts.where("term is null").agg(F.sum("d_t")).first()[0]
-    joined = pairs.join(n_e, "entity").join(n_t, "term").join(counts, "term")
-    all_contexts, all_texts = F.lit(float(max(total, 1))), F.lit(float(max(texts or 0, 1)))
+    all_contexts = F.lit(float(max(total, 1)))
     ic = F.log2(all_contexts / F.col("n_e"))
     pmi = F.log2(F.col("n_et") * all_contexts / (F.col("n_e") * F.col("n_t")))
+    near = pairs.join(n_e, "entity").join(n_t, "term").where(ic > 0).withColumn("degree", pmi / ic)
+    near = materialise(near.where(F.col("degree") >= at).select("term", "d_et", "d_e", "degree"), "near")
+    # First a part of the texts: most words that are common elsewhere show it there, and needn't be counted in the rest.
+    part = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(PARTS))
+    wanted = materialise(near.groupBy("term").agg(F.max("d_et").alias("most")), "wanted")
+    first = materialise(text_counts(documents.where(part == 0), wanted.select("term")), "counts")
+    some = F.coalesce("d_t", F.lit(0))
+    left = materialise(wanted.join(first, "term", "left").where(F.col("most") + PRIOR >= LIKELY * (some + PRIOR)).select("term", some.alias("d_1")), "left")
+    rest = materialise(text_counts(documents.where(part != 0), left.select("term")), "counts")
+    texts = sum(c.where("term is null").agg(F.sum("d_t")).first()[0] or 0 for c in (first, rest))
+    counts = left.join(rest, "term", "left").select("term", (F.col("d_1") + some).alias("d_t"))
+    all_texts = F.lit(float(max(texts, 1)))
     share = (F.col("d_et") + PRIOR * F.col("d_e") / all_texts) / (F.col("d_t") + PRIOR)
     wide = F.try_divide(F.log2(share * all_texts / F.col("d_e")), F.log2(all_texts / F.col("d_e")))
-    judged = joined.where(ic > 0).withColumn("degree", pmi / ic).where((F.col("degree") >= at) & (wide >= at) & (share >= LIKELY))
-    return judged.groupBy("term").agg(F.max("degree").alias("degree"))
+    return near.join(counts, "term").where((wide >= at) & (share >= LIKELY)).groupBy("term").agg(F.max("degree").alias("degree"))
 
 
 def _used(keyed: DataFrame, terms: DataFrame) -> DataFrame:
     """_key, term: the words of each text, cut as terms are, that may be among ``terms``."""
-    sent = keyed.sparkSession.sparkContext.broadcast(_bitmap(terms))
+    sent = keyed.sparkSession.sparkContext.broadcast(_Filter(terms))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, col in slices(batches, "text"):
-            keys, words = [], []
-            for key, text in zip(column(batch, "_key").to_pylist(), col.to_pylist(), strict=True):
-                mine = [w for w in _words(text) if _in(sent.value, w)]
-                keys += [key] * len(mine)
-                words += mine
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(words, pa.string())], names=["_key", "term"])
+            pairs = [(key, w) for key, text in zip(column(batch, "_key").to_pylist(), col.to_pylist(), strict=True) for w in _words(text)]
+            kept = [x for x, ok in zip(pairs, sent.value.has([w for _, w in pairs]), strict=True) if ok]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.string()), pa.array([w for _, w in kept], pa.string())], names=["_key", "term"])
 
     return keyed.select("_key", "text").mapInArrow(cut, "_key string, term string")
 
