@@ -6,7 +6,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .rules import ENTITY_STOP
+from .rules import ASKING_STOP, FILLERS
 
 # Words that a query word also asks for.
 SYNONYMS = {
@@ -74,8 +74,10 @@ def several_hops(query: Column | str) -> Column:
     """Whether a question seems to need several steps: cues, two names, content words joined by and, or its length."""
     q = F.trim(T.col(query))
     words = F.filter(F.split(q, r"(?U)\s+"), lambda w: w != "")
-    names = F.size(T.entities(q, ENTITY_STOP))
-    joined = (F.size(words) >= 6) & F.lower(q).rlike(r"(?U)\S+\s+\S+\s+and\s+\w{4,}")
+    names = F.size(T.spaced_entities(q, ASKING_STOP, None))
+    low = F.transform(words, F.lower)
+    places = F.when(F.size(words) >= 6, F.sequence(F.lit(2), F.size(words) - 2)).otherwise(F.array().cast("array<int>"))
+    joined = F.exists(places, lambda i: (F.get(low, i) == "and") & ~F.get(low, i - 1).isin(FILLERS) & ~F.get(low, i + 1).isin(FILLERS))
     return F.when(q == "", False).otherwise(T.contains_any(F.lower(q), HOP_MARKERS) | (names >= 2) | joined | (F.size(words) > 14))
 
 

@@ -43,8 +43,20 @@ PRIORITIES = [
     (2, ["format"], ["style", "format", "guideline"]),
 ]
 
-# Capitalised words that name nothing.
-ENTITY_STOP = ["the", "this", "that", "these", "those", "and", "but", "for", "with", "from", "what", "when", "where", "who", "why", "how", "which", "yes", "not", "you", "your", "they", "she", "his", "her", "its", "our", "was", "were", "are", "has", "have", "had", "can", "could", "would", "should", "will", "did", "does", "there", "here", "then", "also", "just", "now", "user", "assistant", "system"]
+# Capitalised words that name nothing, in texts.
+ENTITY_STOP = ["The", "This", "That", "These", "Those", "What", "When", "Where", "Which", "Who", "Whom", "Whose", "How", "Why", "Yes", "No", "Not", "But", "And", "Or", "For", "Are", "Was", "Were", "Has", "Have", "Had", "Will", "Would", "Could", "Should", "May", "Can", "Did", "Does", "Been", "Being", "Also", "Just", "Very", "Really", "Some", "Any", "All", "Each", "Every", "Most", "More", "Much", "Many", "Other", "Another", "Here", "There", "Then", "Now", "Well", "Too", "Sure", "Nice", "Good", "Great", "Cool", "Thanks", "Sorry", "Please", "Hello", "Hi", "Okay", "OK", "Mr", "Mrs", "Ms", "Dr", "If", "It", "Is", "As", "At", "In", "On", "To", "By", "Of", "Be", "Do", "So", "Session", "User", "Assistant", "System"]
+
+# The same in hits that a query is widened with.
+HIT_STOP = ["The", "This", "That", "These", "Those", "What", "When", "Where", "Which", "Who", "How", "Why", "Yes", "Not", "But", "And", "For", "Are", "Was", "Were", "Has", "Have", "Had", "Will", "Would", "Could", "Should", "May", "Can", "Did", "Does", "Been", "Being", "Also", "Just", "Very", "Really", "Some", "Any", "All", "Each", "Every", "Most", "More", "Much", "Many", "Other", "Another", "Here", "There", "Then", "Now", "Well", "Too", "Sure", "Nice", "Good", "Great", "Cool", "Thanks", "Sorry", "Please", "Hello"]
+
+# The same in questions.
+ASKING_STOP = ["What", "When", "Where", "Which", "Who", "Whom", "Whose", "How", "Why", "Did", "Do", "Does", "Is", "Are", "Was", "Were", "Has", "Have", "Had", "Can", "Could", "Will", "Would", "Should", "May", "Might", "Shall", "The", "This", "That", "These", "Those", "A", "An", "And", "Or", "But", "If", "Then", "So", "On", "In", "At", "For", "With", "To", "From", "By", "Of"]
+
+# What a question to the graph leaves out besides.
+GRAPH_STOP = [*ASKING_STOP, "Session", "User", "Assistant"]
+
+# Words that join nothing with and.
+FILLERS = ["yes", "no", "ok", "sure", "maybe", "please", "also", "too"]
 
 # Categories, patterns and wording of facts in user turns; {0} is the match, {1} its first group.
 FACTS = [

@@ -154,11 +154,29 @@ def complexity(c: Column | str) -> Column:
     return F.when((tokens > 80) | (signs >= 4) | steps, "complex").when((tokens <= 20) & (signs <= 1), "simple").otherwise("medium")
 
 
-def entities(c: Column | str, stop: list[str], most: int = 40) -> Column:
-    """Capitalised words of three bytes or more that are no stop words, nor capitals only beyond four letters."""
-    found = F.regexp_extract_all(col(c), F.lit(WORD), F.lit(0))
-    ok = F.filter(found, lambda w: (F.octet_length(w) >= 3) & w.rlike(r"^\p{Lu}") & ~F.lower(w).isin(stop) & ~(w.rlike(r"^\p{Lu}+$") & (F.length(w) > 4)))
-    return F.slice(F.array_distinct(F.transform(ok, F.lower)), 1, most)
+def _names(found: Column, stop: list[str], loud: bool) -> Column:
+    """Lower-cased words that begin with a capital and are three bytes or more, without stop words; without ``loud``
+    none of capitals only beyond four bytes."""
+    low = [w.lower() for w in stop]
+
+    def stays(w: Column) -> Column:
+        ok = (F.octet_length(w) >= 3) & w.rlike(r"^\p{Lu}") & ~F.lower(w).isin(low)
+        return ok if loud else ok & ~(w.rlike(r"^\p{Lu}+$") & (F.octet_length(w) > 4))
+
+    return F.array_distinct(F.transform(F.filter(found, stays), F.lower))
+
+
+def entities(c: Column | str, stop: list[str], most: int | None = 40) -> Column:
+    """Names among the words of a text, cut at all signs."""
+    found = _names(F.regexp_extract_all(col(c), F.lit(WORD), F.lit(0)), stop, loud=False)
+    return found if most is None else F.slice(found, 1, most)
+
+
+def spaced_entities(c: Column | str, stop: list[str], most: int | None = 5) -> Column:
+    """Names among the words of a text as white space parts them, without signs around them."""
+    spaced = F.transform(F.split(col(c), r"(?U)\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    found = _names(spaced, stop, loud=True)
+    return found if most is None else F.slice(found, 1, most)
 
 
 def entity_id(c: Column | str) -> Column:
@@ -179,15 +197,16 @@ def relative_dates(c: Column | str, ts: Column | str) -> Column:
     """Each relative date word followed by the date it means, seen from ``ts``."""
     day = F.to_date(col(ts))
     friday = F.when(F.dayofweek(day) == 6, day).otherwise(F.date_sub(F.next_day(day, "FRI"), 7))
-    iso, month = lambda d: F.date_format(d, "yyyy-MM-dd"), lambda d: F.date_format(d, "yyyy-MM")
+    iso, month = lambda d: F.date_format(d, "yyyy-MM-dd"), lambda d: F.date_format(d, "MMMM yyyy")
+    week = lambda d: F.concat(F.lit("week of "), iso(d))
+    # The phrases, in the order in which they are looked for, and the form of each date.
     table = [
-        ("yesterday", iso(F.date_sub(day, 1))), ("today", iso(day)), ("tomorrow", iso(F.date_add(day, 1))), ("last week", iso(F.date_sub(day, 7))),
-        ("last month", month(F.date_sub(day, 30))), ("last year", F.date_format(F.date_sub(day, 365), "yyyy")), ("this week", iso(day)), ("this month", month(day)),
-        ("last friday", iso(friday)), ("recently", F.concat(F.lit("around "), iso(day))),
+        ("yesterday", iso(F.date_sub(day, 1))), ("last week", week(F.date_sub(day, 7))), ("last month", month(F.date_sub(day, 30))), ("last year", (F.year(day) - 1).cast("string")),
+        ("this week", week(day)), ("this month", month(day)), ("today", iso(day)), ("tomorrow", iso(F.date_add(day, 1))), ("last Friday", iso(friday)), ("recently", F.concat(F.lit("around "), F.date_format(day, "yyyy-MM"))),
     ]
     out = col(c)
     for phrase, value in table:
-        out = F.regexp_replace(out, F.lit(rf"(?i)\b({phrase})\b"), F.concat(F.lit("$1 ["), value, F.lit("]")))
+        out = F.regexp_replace(out, F.lit(rf"(?i)\b{phrase}\b"), F.concat(F.lit(f"{phrase} ["), value, F.lit("]")))
     return out
 
 

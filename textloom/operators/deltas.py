@@ -36,13 +36,21 @@ def patch(old: Column | str, change: Column) -> Column:
 
 
 def versions(rows: DataFrame, path: str, order: str, text: str = "text") -> DataFrame:
-    """Each version of a path with its hash, kind (full, unchanged, delta), and the lines it keeps, drops and adds."""
+    """Each version of a path with its hash, kind (full, unchanged, delta), and the lines it keeps, drops and adds.
+
+    Versions are numbered by ``order``, which is unique within a path; a null text has none before it. Only hashes are
+    put in order; texts are fetched for deltas alone, by path and place.
+    """
     w = Window.partitionBy(path).orderBy(order)
-    before = F.lag(text).over(w)
-    out = rows.withColumn("version", F.row_number().over(w)).withColumn("before", before).withColumn("hash", T.content_hash(text))
-    kind = F.when(F.col("before").isNull(), "full").when(T.content_hash("before") == F.col("hash"), "unchanged").otherwise("delta")
-    out = with_diff(out.withColumn("kind", kind), "before", text).withColumn("d", F.when(F.col("kind") == "delta", F.col("d")))
-    return out.select(path, order, "version", "hash", "kind", F.col("d.prefix"), F.col("d.removed"), F.size("d.inserted").alias("inserted"), F.col("d.suffix"))
+    out = rows.select(path, order, T.content_hash(text).alias("hash")).withColumn("version", F.row_number().over(w))
+    out = out.withColumn("old_hash", F.lag("hash").over(w)).withColumn("_before", F.lag(order).over(w))
+    kind = F.when(F.col("old_hash").isNull(), "full").when(F.col("old_hash") == F.col("hash"), "unchanged").otherwise("delta")
+    out = out.withColumn("kind", kind).drop("old_hash")
+    texts = rows.select(path, F.col(order).alias("_at"), F.col(text).alias("_text"))
+    changed = out.where("kind = 'delta'").select(path, order, "_before")
+    both = changed.join(texts.toDF(path, order, "_new"), [path, order]).join(texts.toDF(path, "_before", "_old"), [path, "_before"])
+    d = with_diff(both, "_old", "_new").select(path, order, "d.prefix", "d.removed", F.size("d.inserted").alias("inserted"), "d.suffix")
+    return out.join(d, [path, order], "left").select(path, order, "version", "hash", "kind", "prefix", "removed", "inserted", "suffix")
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, state: list[str]) -> DataFrame:
@@ -55,8 +63,8 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, state: list[str]) ->
 def read_delta(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Requests (path, known_version, known_hash) answered from snapshots (path, version, content): the newest as a
     whole, as lines changed since the known version, or as unchanged; missing if there is none."""
-    w = Window.partitionBy("path").orderBy(F.col("version").desc())
-    newest = snapshots.withColumn("i", F.row_number().over(w)).where("i = 1").select("path", F.col("version").alias("now"), F.col("content").alias("current"))
+    last = snapshots.groupBy("path").agg(F.max("version").alias("now"))
+    newest = snapshots.join(last, "path").where("version = now").select("path", "now", F.col("content").alias("current"))
     known = snapshots.select("path", F.col("version").alias("known_version"), F.col("content").alias("base"))
     got = requests.join(newest, "path", "left").join(known, ["path", "known_version"], "left")
     same = (T.content_hash("current") == F.col("known_hash")) | (F.col("known_version") == F.col("now"))
@@ -85,12 +93,21 @@ def fragments(docs: DataFrame, key: str = "doc_id", text: str = "text", separato
     return own.groupBy("content").agg(F.count("*").alias("docs"), F.sum("n").alias("times")).where(F.col("docs") >= least_docs).select(T.short_hash("content").alias("fragment_id"), "content", T.count_tokens("content").alias("tokens"), "docs", "times")
 
 
+def _alone(key: str) -> Column:
+    """A key for a block that no fragment has, and that spreads blocks evenly."""
+    return F.concat(F.lit("-"), F.xxhash64(key, "pos").cast("string"))
+
+
 def encode(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", text: str = "text", separator: str = "\n") -> DataFrame:
     """key, encoded, used (fragment ids): blocks found in the dictionary become references of the form [[f:id]].
 
-    Blocks are matched by their hash in a join, so the dictionary may be of any size.
+    Blocks are matched by their hash in a join, so the dictionary may be of any size. Blocks shorter than all of the
+    dictionary's, blank lines for one, get a key of their own instead, so they don't meet in one task.
     """
-    each = docs.select(key, F.posexplode(F.split(text, separator)).alias("pos", "content")).withColumn("fragment_id", T.short_hash("content"))
+    least = dictionary.agg(F.min(F.length("content"))).first()[0]
+    each = docs.select(key, F.posexplode(F.split(text, separator)).alias("pos", "content"))
+    able = F.lit(False) if least is None else F.length("content") >= least
+    each = each.withColumn("fragment_id", F.when(able, T.short_hash("content")).otherwise(_alone(key)))
     hit = each.join(dictionary.select("fragment_id", F.lit(True).alias("known")), "fragment_id", "left")
     # A block that already looks like a reference is escaped, so that decoding is exact.
     plain = F.regexp_replace("content", r"^(\\*\[\[f:)", r"\\$1")
@@ -101,10 +118,12 @@ def encode(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", text: st
 
 def decode(encoded: DataFrame, dictionary: DataFrame, key: str = "doc_id", separator: str = "\n") -> DataFrame:
     """key, text; raises where a reference is not in the dictionary."""
-    each = encoded.select(key, F.posexplode(F.split("encoded", separator)).alias("pos", "part")).withColumn("fragment_id", F.regexp_extract("part", r"^\[\[f:([0-9a-f]{16})\]\]$", 1))
+    each = encoded.select(key, F.posexplode(F.split("encoded", separator)).alias("pos", "part")).withColumn("named", F.regexp_extract("part", r"^\[\[f:([0-9a-f]{16})\]\]$", 1))
+    # Plain blocks name no fragment; they have keys of their own, so they don't meet in one task.
+    each = each.withColumn("fragment_id", F.when(F.col("named") == "", _alone(key)).otherwise(F.col("named")))
     got = each.join(dictionary.select("fragment_id", "content"), "fragment_id", "left")
     plain = F.regexp_replace("part", r"^\\(\\*\[\[f:)", "$1")
-    part = F.when(F.col("fragment_id") == "", plain).otherwise(F.coalesce("content", F.raise_error(F.concat(F.lit("no fragment "), "fragment_id"))))
+    part = F.when(F.col("named") == "", plain).otherwise(F.coalesce("content", F.raise_error(F.concat(F.lit("no fragment "), "fragment_id"))))
     ordered = F.array_sort(F.collect_list(F.struct("pos", part.alias("part"))))
     return got.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["part"]), separator).alias("text"))
 

@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 
+def _checkpoints(spark: SparkSession) -> None:
+    """Sees to it that the session has a folder for checkpoints that all executors share."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = tempfile.mkdtemp(prefix="textloom-")
+        spark.sparkContext.setCheckpointDir(base)
+
+
 def normal_triples(triples: DataFrame) -> DataFrame:
     """Triples (subject, predicate, object, object_kind, confidence, source, ts) with ids: facts of equal parts share fact_id."""
     s, p = T.entity_id("subject"), T.predicate("predicate")
@@ -20,7 +34,7 @@ def merge_facts(triples: DataFrame, known: DataFrame | None = None) -> DataFrame
     """One row a fact: fact_id, s, p, o, object_kind, confidence (highest), sources (sorted), first and last ts."""
     x = normal_triples(triples).select("fact_id", "s", "p", "o", "object_kind", "confidence", F.array("source").alias("sources"), F.col("ts").alias("first_ts"), F.col("ts").alias("last_ts"))
     x = x if known is None else x.unionByName(known)
-    return x.groupBy("fact_id").agg(*(F.first(c).alias(c) for c in ("s", "p", "o", "object_kind")), F.max("confidence").alias("confidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("sources"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+    return x.groupBy("fact_id").agg(*(F.min_by(c, F.struct("first_ts", c)).alias(c) for c in ("s", "p", "o", "object_kind")), F.max("confidence").alias("confidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("sources"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
 
 
 def merge_entities(triples: DataFrame) -> DataFrame:
@@ -65,11 +79,7 @@ def query_facts(names: DataFrame, facts: DataFrame, entities: DataFrame, k: int
 def closure(edges: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
     """node: everything reachable from roots (node) over edges (a, b). Each step adds only what is new and is cut off
     from the plan before it by a checkpoint; steps are bounded by the longest path, ``most``."""
-    spark = edges.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-"))
+    _checkpoints(edges.sparkSession)
     seen = front = roots.select("node").distinct().checkpoint()
     for _ in range(most):
         front = front.join(edges, front["node"] == edges["a"]).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").checkpoint()
@@ -85,11 +95,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, restart: DataFrame | None = Non
     Rank of nodes without outgoing edges goes to the restart. Every ``cut`` rounds the ranks are checkpointed, so the
     plan stays short and a lost executor costs a few rounds. All rounds are joins and aggregates on node ids.
     """
-    spark = nodes.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-"))
+    _checkpoints(nodes.sparkSession)
     links = edges.select("src", "dst").where("src <> dst").distinct()
     out = links.groupBy("src").agg(F.count("*").alias("n"))
     links = links.join(out, "src").checkpoint()

@@ -5,10 +5,10 @@ Messages are (conv_id, turn, role, text); conversations are many, each is one gr
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -27,19 +27,25 @@ def recent_window(messages: DataFrame, base: int = 5) -> DataFrame:
     return messages.withColumn("n", F.count("*").over(w)).withColumn("k", k).withColumn("back", back).where("back <= k").drop("back")
 
 
+def _fact(rule: int, category: str, form: str) -> Callable[[Column, Column], Column]:
+    """What a match of a rule, the ``at``-th in its message, says."""
+
+    def said(x: Column, at: Column) -> Column:
+        content = F.trim(F.replace(F.replace(F.lit(form), F.lit("{0}"), F.trim(x["whole"])), F.lit("{1}"), F.trim(x["first"])))
+        return F.struct((F.lit(rule * 100_000) + at).alias("seq"), F.lit(category).alias("category"), content.alias("content"))
+
+    return said
+
+
 def facts(messages: DataFrame, rules: list[tuple[str, str, str]] = FACTS) -> DataFrame:
     """conv_id, turn, seq, category, content, superseded of statements in user turns; equal ones (but for case) once."""
     user = messages.where(T.role("role") == "user").select("conv_id", "turn", "text")
-    rows = []
+    every = []
     for i, (category, pattern, form) in enumerate(rules):
-        pattern = "(?U)" + pattern
-        whole, first = (F.regexp_extract_all("text", F.lit(pattern), F.lit(g)) for g in (0, 1))
-        said = F.arrays_zip(whole.alias("whole"), first.alias("first"))
-        content = F.trim(F.replace(F.replace(F.lit(form), F.lit("{0}"), F.trim("x.whole")), F.lit("{1}"), F.trim("x.first")))
-        rows.append(user.select("conv_id", "turn", F.posexplode(said).alias("at", "x")).select("conv_id", "turn", (F.lit(i * 100_000) + F.col("at")).alias("seq"), F.lit(category).alias("category"), content.alias("content")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.union(r)
+        whole, first = (F.regexp_extract_all("text", F.lit("(?U)" + pattern), F.lit(g)) for g in (0, 1))
+        every.append(F.transform(F.arrays_zip(whole.alias("whole"), first.alias("first")), _fact(i, category, form)))
+    # The matches of all rules in one array: messages are read once.
+    out = user.select("conv_id", "turn", F.explode(F.concat(*every)).alias("x")).select("conv_id", "turn", "x.*")
     once = Window.partitionBy("conv_id", F.lower("content")).orderBy("turn", "seq")
     out = out.where("content <> ''").withColumn("nth", F.row_number().over(once)).where("nth = 1").drop("nth")
     latest = F.row_number().over(Window.partitionBy("conv_id", "category").orderBy(F.col("turn").desc(), "seq"))
@@ -72,10 +78,11 @@ def last_turns(messages: DataFrame, most: int = 5) -> DataFrame:
     return last.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("x")).select("conv_id", F.array_join(F.transform("x", lambda x: x["line"]), " | ").alias("transcript"))
 
 
-def keyword_index(messages: DataFrame) -> DataFrame:
-    """keyword, messages (sorted conv_id:turn), n, of words of four bytes or more."""
-    each = messages.select(F.concat_ws(":", "conv_id", "turn").alias("m"), F.explode(F.array_distinct(T.keywords("text"))).alias("keyword"))
-    return each.groupBy("keyword").agg(F.array_sort(F.collect_list("m")).alias("messages"), F.count("*").alias("n"))
+def keyword_index(messages: DataFrame, conversations: int = 1000) -> DataFrame:
+    """keyword, block, messages (sorted conv_id:turn), n, of words of four bytes or more. A row lists the messages of one
+    block of ``conversations`` ids, so a word that all messages hold makes many rows and none of them is unbounded."""
+    each = messages.select(F.floor(F.col("conv_id") / conversations).alias("block"), F.concat_ws(":", "conv_id", "turn").alias("m"), F.explode(F.array_distinct(T.keywords("text"))).alias("keyword"))
+    return each.groupBy("keyword", "block").agg(F.array_sort(F.collect_list("m")).alias("messages"), F.count("*").alias("n"))
 
 
 def topic_clusters(messages: DataFrame, table: dict[str, list[str]]) -> DataFrame:

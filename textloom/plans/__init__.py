@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import memory, relational, retrieval, texts
+from . import memory, protocols, relational, retrieval, texts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_FAMILIES = (retrieval, texts, memory, relational)
+_FAMILIES = (retrieval, texts, memory, relational, protocols)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.rules import RULE_TOPICS
+from ..functions.rules import FACTS, RULE_TOPICS
 from ..operators import chunks
 from ..operators import memory as M
 from ..streaming.memory import rolling_summary_batch
@@ -29,7 +29,7 @@ def last_turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def keyword_index(spark: SparkSession, sf: str) -> DataFrame:
-    return M.keyword_index(_c(spark, sf)).select("keyword", F.array_join("messages", ",").alias("messages"), "n")
+    return M.keyword_index(_c(spark, sf)).select("keyword", "block", F.array_join("messages", ",").alias("messages"), "n")
 
 
 def token_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,13 +80,30 @@ _ROLE = "case when lower(trim(role)) in ('assistant', 'system') then lower(trim(
 _SENT = "substr(trim(regexp_extract(text, '^[^.!?]*', 0), ' '), 1, 200)"
 _TOKENS = r"len(regexp_extract_all(text, '[\p{L}\p{N}]{1,4}|[^\s\p{L}\p{N}]'))"
 
+
+
+def _facts_sql() -> str:
+    """Matches of all rules in user turns; equal contents of a conversation count once."""
+    rules = []
+    for _, pattern, form in FACTS:
+        # Word characters of all scripts, within brackets and alone.
+        p = pattern.replace("(\\w+ ", r"([\p{L}\p{N}_]+ ").replace(r"\w", r"\p{L}\p{N}_").replace("'", "''")
+        form = form.replace("'", "''")
+        rules.append(f"select conv_id, list_transform(list_zip(regexp_extract_all(text, '{p}', 0), regexp_extract_all(text, '{p}', 1)), lambda x: trim(replace(replace('{form}', '{{0}}', trim(x[1], ' ')), '{{1}}', trim(x[2], ' ')), ' ')) as l from u")
+    return f"""with u as (select conv_id, text from conversations where lower(trim(role, ' ')) not in ('assistant', 'system')),
+f as (select conv_id, unnest(l) as content from ({" union all ".join(rules)})),
+n as (select conv_id, count(distinct lower(content)) as facts from f where content <> '' group by conv_id)
+select conv_id, count(*) as messages, coalesce(any_value(facts), 0) as facts from conversations left join n using (conv_id) group by conv_id"""
+
+
 SQL = {
+    "conversation_facts": _facts_sql(),
     "recent_window": "select conv_id, turn, k, n from (select conv_id, turn, count(*) over (partition by conv_id) as n, greatest(3, floor(log2(count(*) over (partition by conv_id))))::bigint as k, row_number() over (partition by conv_id order by turn desc) as b from conversations) where b <= k",
     "heuristic_summary": f"""with m as (select conv_id, turn, {_ROLE} as r, text, {_SENT} as s from conversations),
 g as (select conv_id, list(s order by turn) filter (where r = 'user' and contains(text, '?')) as asked, list(s order by turn) filter (where r = 'assistant') as said, count(*) filter (where contains(text, '```')) as code from m group by conv_id)
 select conv_id, coalesce(nullif(concat_ws(' ', 'User asked about: ' || array_to_string(asked[1:6], '; ') || '.', 'Assistant responses covered: ' || array_to_string(said[1:6], '; ') || '.', case when code > 0 then 'Conversation included ' || code || ' code-oriented message(s).' end), ''), 'Conversation contains mixed discussion with no clear dominant thread.') as summary from g""",
     "last_turns": f"with m as (select conv_id, turn, upper(substr({_ROLE}, 1, 1)) || substr({_ROLE}, 2) || ': ' || {_SENT} as line, row_number() over (partition by conv_id order by turn desc) as b from conversations) select conv_id, string_agg(line, ' | ' order by turn) as transcript from m where b <= 5 group by conv_id",
-    "keyword_index": r"with k as (select distinct conv_id || ':' || turn as m, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: strlen(w) >= 4)) as keyword from conversations) select keyword, string_agg(m, ',' order by m) as messages, count(*) as n from k group by keyword",
+    "keyword_index": r"with k as (select distinct conv_id // 1000 as block, conv_id || ':' || turn as m, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: strlen(w) >= 4)) as keyword from conversations) select keyword, block, string_agg(m, ',' order by m) as messages, count(*) as n from k group by keyword, block",
     "token_stats": f"select role as module, count(*) as calls, sum({_TOKENS})::bigint as original_tokens, sum({_TOKENS})::bigint as compressed_tokens from conversations group by rollup(role)",
     "turn_blocks": f"select conv_id, block, count(*) as turns, sum(t)::bigint as tokens from (select conv_id, (row_number() over (partition by conv_id order by turn) - 1) // 3 as block, {_TOKENS} as t from conversations) group by conv_id, block",
     "topic_clusters": "select topic, count(*) as n from (select unnest(case when len(t) = 0 then ['general'] else t end) as topic from (select list_filter([" + ", ".join(f"case when {' or '.join(f"contains(lower(text), '{k}')" for k in words)} then '{t}' end" for t, words in RULE_TOPICS.items()) + "], lambda x: x is not null) as t from conversations)) group by topic",

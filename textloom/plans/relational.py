@@ -53,9 +53,9 @@ def newest_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def user_sets(spark: SparkSession, sf: str) -> DataFrame:
-    """Users with an event_id that leaves 1 divided by 97, those with one that leaves 2 divided by 89, and how the sets combine."""
+    """Users with a purchase, those with an error, and how many are in either set, in both, and in the first alone."""
     e = _t(spark, sf, "events")
-    a, b = e.where("event_id % 97 = 1").select("user_id").distinct(), e.where("event_id % 89 = 2").select("user_id").distinct()
+    a, b = (e.where(F.col("event_type") == kind).select("user_id").distinct() for kind in ("purchase", "error"))
     both = [("union", a.union(b).distinct()), ("intersect", a.intersect(b)), ("except", a.exceptAll(b))]
     out = None
     for name, x in both:
@@ -85,7 +85,24 @@ def trade_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (pricing_summary, region_revenue, top_orders, customers_without_orders, tumbling_stats, sessions, newest_events, user_sets, image_tokens, touching_facts, trade_rank)}
 
+
+
+def _rank_sql(rounds: int = 10) -> str:
+    """The rounds of PageRank one after the other; rank that leads nowhere goes to all alike."""
+    steps = "".join(
+        f""",
+r{i + 1} as (select node, 0.15 * base + 0.85 * (coalesce(got, 0) + lost * base) as rank from base left join (select dst, sum(rank / n) as got from l join o using (src) join r{i} on node = src group by dst) on dst = node, (select coalesce(sum(rank), 0) as lost from r{i} where node not in (select src from o)))"""
+        for i in range(rounds)
+    )
+    return f"""with l as (select distinct c_nationkey as src, s_nationkey as dst from orders join customer on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey where c_nationkey <> s_nationkey),
+o as (select src, count(*) as n from l group by src),
+base as (select n_nationkey as node, 1.0::double / (select count(*) from nation) as base from nation),
+r0 as (select node, base as rank from base){steps}
+select node, round(rank, 6) as rank from r{rounds}"""
+
+
 SQL = {
+    "trade_rank": _rank_sql(),
     "pricing_summary": "select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) as sum_disc_price, round(avg(l_discount), 6) as avg_disc, count(*) as count_order from lineitem where l_shipdate <= timestamp '1998-09-02' group by 1, 2",
     "region_revenue": "select r_name, round(sum(o_totalprice), 2) as revenue, count(distinct c_custkey) as customers from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by r_name",
     "top_orders": "select o_custkey, o_orderkey, rank from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank from orders) where rank <= 3",
@@ -93,7 +110,7 @@ SQL = {
     "tumbling_stats": "select time_bucket(interval '1 day', ts) as day, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
     "sessions": "with g as (select user_id, event_id, ts, case when lag(ts) over w is null or epoch(ts) - epoch(lag(ts) over w) > 1800 then 1 else 0 end as new from events window w as (partition by user_id order by ts, event_id)), s as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as session from g) select user_id, session::bigint as session, count(*) as events, min(ts) as began from s group by user_id, session",
     "newest_events": "select user_id, event_id from (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) as i from events) where i <= 5",
-    "user_sets": "with a as (select distinct user_id from events where event_id % 97 = 1), b as (select distinct user_id from events where event_id % 89 = 2) select 'union' as op, count(*) as users from (select * from a union select * from b) union all select 'intersect', count(*) from (select * from a intersect select * from b) union all select 'except', count(*) from (select * from a except select * from b)",
+    "user_sets": "with a as (select distinct user_id from events where event_type = 'purchase'), b as (select distinct user_id from events where event_type = 'error') select 'union' as op, count(*) as users from (select * from a union select * from b) union all select 'intersect', count(*) from (select * from a intersect select * from b) union all select 'except', count(*) from (select * from a except select * from b)",
     "image_tokens": "select p_partkey, greatest((p_size * 20 * p_size * 30) // 750, 85)::bigint as tokens from part",
     "touching_facts": "select distinct s, o from (select c_nationkey as s, c_mktsegment as o from customer where c_nationkey = 3 union all select s_nationkey, 'supplier' from supplier where s_nationkey = 3)",
 }

@@ -135,7 +135,14 @@ def _topics(table: dict[str, list[str]]) -> str:
 _NORM = r"trim(regexp_replace(regexp_replace(line, '\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})?', '<TS>', 'g'), '\d+', '<N>', 'g'))"
 _REPEATED = "select line, sum(n)::bigint as times, count(*) as rows, min(doc_id) as first_row from (select doc_id, line, count(*) as n from (select doc_id, {1} as line from (select doc_id, unnest({0}) as line from documents)) group by doc_id, line) group by line having sum(n) > 1"
 
+#: Versions of a source with the one before, and the lines that both have at the beginning and at the end.
+_DIFFED = rf"""v as (select source, doc_id, text, lag(text) over (partition by source order by doc_id) as old from documents),
+n as (select doc_id, {_LINES} as b, {_LINES.replace("text", "old")} as a from v where old is not null and sha256(old) <> sha256(text)),
+p as (select *, least(len(a), len(b)) as n, coalesce(nullif(list_position(list_transform(range(1, least(len(a), len(b)) + 1), lambda i: a[i] = b[i]), false), 0) - 1, least(len(a), len(b))) as prefix from n),
+s as (select *, coalesce(nullif(list_position(list_transform(range(1, n - prefix + 1), lambda i: a[len(a) - i + 1] = b[len(b) - i + 1]), false), 0) - 1, n - prefix) as suffix from p)"""
+
 SQL = {
+    "version_diffs": f"with {_DIFFED} select doc_id, prefix::int as prefix, (len(a) - prefix - suffix)::int as removed, (len(b) - prefix - suffix)::int as inserted, suffix::int as suffix from s",
     "content_hash_dedup": "select sha256(text) as hash, min(doc_id) as doc_id, count(*) as copies from documents group by 1",
     "line_hashes": f"select doc_id, len({_LINES}) as n_lines, array_to_string(list_transform({_LINES}, lambda x: substr(sha256(x), 1, 16)), ',') as hashes from documents",
     "repeated_lines": _REPEATED.format(_LINES, "line"),

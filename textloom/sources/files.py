@@ -7,14 +7,14 @@ import re
 import subprocess
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Folders and files that a scan leaves out.
-SKIP_FOLDERS = [".git", ".hg", ".svn", "node_modules", "target", "dist", "build", "out", ".next", ".nuxt", "venv", ".venv", "__pycache__", ".mypy_cache", ".pytest_cache", ".tox", ".idea", ".vscode", "vendor", "coverage", ".cache", ".gradle", "Pods"]
-SKIP_FILES = ["package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "poetry.lock", "Gemfile.lock"]
+# Folders and files that a scan leaves out.
+SKIP_FOLDERS = [".git", ".hg", ".svn", ".jj", "node_modules", "target", "build", "dist", ".venv", "venv", "__pycache__", ".mypy_cache", ".pytest_cache", ".tox", ".idea", ".vscode", ".next", ".nuxt", ".turbo", ".cache", "vendor", "Pods", "DerivedData"]
+SKIP_FILES = ["Cargo.lock", "package-lock.json", "pnpm-lock.yaml", "yarn.lock", "poetry.lock", "go.sum"]
 
 
 def listing(spark: SparkSession, root: str, extensions: list[str] | None = None, max_bytes: int = 1 << 20) -> DataFrame:
@@ -22,10 +22,14 @@ def listing(spark: SparkSession, root: str, extensions: list[str] | None = None,
     return _below(spark, root, extensions, max_bytes).select("path", "size", "modified")
 
 
+def _inside(root: str) -> Column:
+    """The part of a file's path that is below root."""
+    return F.regexp_replace("path", rf"^.*?{re.escape(root.rstrip('/').removeprefix('file://'))}/", "")
+
+
 def _below(spark: SparkSession, root: str, extensions: list[str] | None, max_bytes: int) -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= max_bytes)
-    base = re.escape(root.rstrip("/").removeprefix("file://"))
-    x = raw.select(F.regexp_replace("path", rf"^.*?{base}/", "").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
+    x = raw.select(F.col("path").alias("uri"), _inside(root).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     folders = "|".join(re.escape(f) for f in SKIP_FOLDERS)
     x = x.where(~F.col("path").rlike(rf"(^|/)({folders})/") & ~F.element_at(F.split("path", "/"), -1).isin(SKIP_FILES))
     return x if extensions is None else x.where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin([e.lower() for e in extensions]))
@@ -43,8 +47,12 @@ def scan(spark: SparkSession, root: str, extensions: list[str] | None = None, ma
     else:
         for p in ignore_patterns(local):
             x = x.where(~F.col("path").rlike(p))
-    # Which files are taken is decided on the listing; only they are read.
-    return x.orderBy("path").limit(max_files).withColumn("content", F.decode("content", "UTF-8"))
+    # Which files are taken, ``max_files`` at most, is decided on the listing; only they are read.
+    chosen = [re.sub(r"([\[\]{}*?\\])", r"\\\1", r["uri"]) for r in x.orderBy("path").limit(max_files).select("uri").collect()]
+    if not chosen:
+        return x.drop("uri").limit(0).withColumn("content", F.lit(None).cast("string"))
+    read = spark.read.format("binaryFile").load(chosen)
+    return read.select(_inside(root).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.decode("content", "UTF-8").alias("content")).orderBy("path")
 
 
 def git_files(root: str) -> list[str]:
@@ -83,8 +91,8 @@ def insert(spark: SparkSession, path: str, rows: DataFrame, key: str, schema: st
 
 
 def retained(outputs: DataFrame, by: str, newest: str, keep: int) -> DataFrame:
-    """The newest ``keep`` raw outputs of each key."""
-    w = Window.partitionBy(by).orderBy(F.col(newest).desc())
+    """The newest ``keep`` raw outputs of each key; of equally new ones those with the least hash."""
+    w = Window.partitionBy(by).orderBy(F.col(newest).desc(), F.xxhash64(*outputs.columns))
     return outputs.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= keep).drop("_n")
 
 
