@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.functions.rules import ENTITY_STOP
+from textloom.functions.rules import ENTITY_STOP, GRAPH_STOP, HIT_STOP
 from textloom.operators import chunks, code, deltas, graph, hooks, memory, outputs, prompts, retrieval
 from textloom.sources import files
 from textloom.streaming import memory as stream
@@ -108,6 +108,30 @@ def test_entity_bridges(spark):
     assert text.select(T.entities("t", ENTITY_STOP).alias("e")).first().e == ["ada", "rust", "nasa"]
 
 
+def test_names_by_their_lists(spark):
+    df = spark.createDataFrame([("Hello (Alice), what did Marie-Louise, NASA and Bob say?",)], "t string")
+    got = df.select(T.spaced_entities("t", HIT_STOP).alias("a"), T.entities("t", GRAPH_STOP, None).alias("b")).first()
+    assert got.a == ["alice", "marie-louise", "nasa", "bob"] and got.b == ["hello", "alice", "marie", "louise", "nasa", "bob"]
+
+
+def test_scores_that_are_no_number_come_last(spark):
+    nan = float("nan")
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [nan, 0.0]), (3, [0.5, 0.0])], "vec_id long, embedding array<double>")
+    q = spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, embedding array<double>")
+    assert [r.doc_id for r in retrieval.vector_top_k(v, q, 5).orderBy("rank").collect()] == [1, 3, 2]
+    assert [r.doc_id for r in retrieval.vector_top_k(v, q, 2).orderBy("rank").collect()] == [1, 3]
+
+
+def test_bridges_count_only_where_direct_hits_cover_little(spark):
+    docs = spark.createDataFrame([(1, "Ada uses Rust"), (2, "Rust and Bob"), (3, "Cyd likes Go"), (4, "Dan"), (5, "Eve")], "doc_id long, text string")
+    far = spark.createDataFrame([(1, "Ada Bob Cyd Dan Eve")], "query_id long, text string")
+    plain = {r.doc_id: r.score for r in retrieval.entity_scores(docs, far, [], bridges=0).collect()}
+    got = {r.doc_id: r.score for r in retrieval.entity_scores(docs, far, []).collect()}
+    assert abs(got[2] - 1.5 * plain[2]) < 1e-9 and abs(got[1] - 1.5 * plain[1]) < 1e-9 and got[3] == plain[3]
+    near = spark.createDataFrame([(1, "Ada Bob")], "query_id long, text string")
+    assert all(abs(r.score - plain[r.doc_id]) < 1e-9 for r in retrieval.entity_scores(docs, near, []).collect())
+
+
 def test_hash_embeddings_are_unit_vectors(spark):
     df = spark.createDataFrame([(1, "some words here"), (2, " "), (3, None)], "doc_id long, text string")
     got = {r.doc_id: r.embedding for r in retrieval.hash_embedding(df).collect()}
@@ -136,6 +160,9 @@ def test_prompt_sections_and_choice(spark):
     assert got[2].included[0] == "one" and 3 not in got
     names = [r.section_id for r in prompts.sections(spark.createDataFrame([(1, "<a>x</a><a>y</a>")], "prompt_id long, text string")).orderBy("pos").collect()]
     assert names == ["a", "a_2"]
+    scored = spark.createDataFrame([(1, "math_rules", 0.6), (1, "creative_writing", 0.5)], "prompt_id long, section_id string, score double")
+    got = prompts.compress_prompts(df.where("prompt_id = 1"), 100, scores=scored).first()
+    assert "math_rules" in got.included and "creative_writing" in got.excluded
     assert [n for n, _ in prompts.split_sections("RULE: be kind\nRULE: be brief")] == ["rule_1", "rule_2"]
 
 
@@ -155,10 +182,18 @@ def test_chunks(spark):
 
 @given(st.lists(st.sampled_from("abc"), max_size=6), st.lists(st.sampled_from("abc"), max_size=6))
 def test_edit_rounds(a, b):
-    text, error = deltas.edit_once("\n".join(["head", *a, "tail"]), {"kind": "replace", "anchor": "head", "text": "\n".join(b)})
+    text, error = deltas.edit("\n".join(["head", *a, "tail"]), [{"kind": "replace", "anchor": "head", "text": "\n".join(b)}])
     assert error is None and text.endswith("tail")
 
 
+def test_edits_are_looked_up_first_and_by_symbol():
+    text = "pub struct S {\n  x\n}\nclass C\nasync fn go() {\n  {\n  }\n}\nlast\n"
+    edits = [{"kind": "delete", "anchor": "symbol struct S", "text": None}, {"kind": "insert_before", "anchor": "symbol function go", "text": "// a\n// b"}, {"kind": "insert_after", "anchor": "symbol function go", "text": "after"}, {"kind": "replace", "anchor": "lines 4-4", "text": "class D"}]
+    assert deltas.edit(text, edits) == ("class D\n// a\n// b\nasync fn go() {\n  {\n  }\n}\nafter\nlast\n", None)
+    for anchor, error in (("symbol enum S", "anchor not found"), ("lines 3-99", "lines out of range"), ("{", "anchor is not unique"), ("none", "anchor not found")):
+        assert deltas.edit(text, [edits[0], {"kind": "delete", "anchor": anchor, "text": None}]) == (text, error)
+
+
 def test_patch_round_trip(spark):
     texts = ["", "a", "a\nb", "a\nb\nc", "b\nc", "a\nx\nc", "a\na\na", "a\na", "x\n", "c\nb\na"]
     df = spark.createDataFrame([(x, y) for x in texts for y in texts], "old string, new string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -130,37 +131,57 @@ def decode(encoded: DataFrame, dictionary: DataFrame, key: str = "doc_id", separ
 
 def apply_edits(rows: DataFrame) -> DataFrame:
     """path, content, error after structured edits: rows of path, content and edits, an array of structs with kind
-    (replace, insert_after, delete), anchor (a text that occurs once, or lines a-b from 1) and text."""
+    (replace, insert_before, insert_after, delete), anchor and text; see ``edit``. With an error the content stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, errors = [], []
-            for content, edits in zip(batch.column("content").to_pylist(), batch.column("edits").to_pylist(), strict=True):
-                text, error = content or "", None
-                for e in edits or []:
-                    text, error = edit_once(text, e)
-                    if error:
-                        text = content
-                        break
-                out.append(text)
-                errors.append(error)
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.string()), pa.array(errors, pa.string())], names=["path", "content", "error"])
+            done = [edit(c or "", e or []) for c, e in zip(batch.column("content").to_pylist(), batch.column("edits").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([t for t, _ in done], pa.string()), pa.array([e for _, e in done], pa.string())], names=["path", "content", "error"])
 
     return rows.select("path", "content", "edits").mapInArrow(run, "path string, content string, error string")
 
 
-def edit_once(text: str, e: dict) -> tuple[str, str | None]:
-    import re
-
-    m = re.fullmatch(r"lines (\d+)-(\d+)", e["anchor"])
-    if m:
-        lines = text.split("\n")
-        a, b = int(m[1]), int(m[2])
-        if not 1 <= a <= b <= len(lines):
-            return text, "lines out of range"
-        new = {"replace": [e["text"]], "insert_after": [*lines[a - 1 : b], e["text"]], "delete": []}[e["kind"]]
-        return "\n".join([*lines[: a - 1], *new, *lines[b:]]), None
-    if text.count(e["anchor"]) != 1:
-        return text, "anchor is not unique" if e["anchor"] in text else "anchor not found"
-    new = {"replace": e["text"], "insert_after": e["anchor"] + (e["text"] or ""), "delete": ""}[e["kind"]]
-    return text.replace(e["anchor"], new), None
+# How a line begins that defines a symbol of each kind.
+_DEFINES = {"function": r"(?:pub\s+)?(?:async\s+)?fn", "class": "class", "struct": r"(?:pub\s+)?struct", "enum": r"(?:pub\s+)?enum"}
+
+
+def _anchored(lines: list[str], anchor: str) -> tuple[int, int] | str:
+    """The lines (from, to) that an anchor names, or what is wrong with it."""
+    if m := re.fullmatch(r"lines (\d+)-(\d+)", anchor):
+        a, b = int(m[1]) - 1, int(m[2])
+        return (a, b) if 0 <= a < b <= len(lines) else "lines out of range"
+    if m := re.fullmatch(rf"symbol ({'|'.join(_DEFINES)}) (.+)", anchor):
+        head = re.compile(rf"\s*{_DEFINES[m[1]]}\s+{re.escape(m[2])}\b")
+        at = next((i for i, x in enumerate(lines) if head.match(x)), None)
+        return "anchor not found" if at is None else (at, _block_end(lines, at))
+    at = [i for i, x in enumerate(lines) if anchor in x]
+    return (at[0], at[0] + 1) if len(at) == 1 else "anchor is not unique" if at else "anchor not found"
+
+
+def _block_end(lines: list[str], at: int) -> int:
+    """The line after the brace that closes what opens on line ``at`` or after it; without braces the next line."""
+    depth, opened = 0, False
+    for i in range(at, len(lines)):
+        depth += lines[i].count("{") - lines[i].count("}")
+        opened = opened or "{" in lines[i]
+        if opened and depth <= 0:
+            return i + 1
+    return at + 1
+
+
+def edit(text: str, edits: list[dict]) -> tuple[str, str | None]:
+    """The text after edits of whole lines, and the first error. An anchor is a text that one line holds, ``lines a-b``
+    (from 1), or ``symbol kind name`` for a definition with its block. All are looked up in the text as it comes, and
+    the last lines are edited first, so no edit moves the place of another."""
+    lines = text.split("\n")
+    end = [lines.pop()] if lines[-1] == "" else []
+    placed = []
+    for e in edits:
+        place = _anchored(lines, e["anchor"])
+        if isinstance(place, str):
+            return text, place
+        placed.append((place, e))
+    for (a, b), e in sorted(placed, key=lambda x: (-x[0][0], x[1]["kind"] == "insert_before")):
+        new = (e["text"] or "").split("\n") if e["text"] else []
+        lines[a:b] = {"replace": new, "insert_before": [*new, *lines[a:b]], "insert_after": [*lines[a:b], *new], "delete": []}[e["kind"]]
+    return "\n".join([*lines, *end]), None

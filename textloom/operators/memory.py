@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.rules import FACTS, MUTABLE
 from .outputs import tokens
+from .retrieval import keyword_embedding
 
 #: The longest cut that one step of the budget loop takes off a summary, and the length from which it cuts.
 SUMMARY_STEP, SUMMARY_FLOOR = 80, 120
@@ -85,6 +86,18 @@ def keyword_index(messages: DataFrame, conversations: int = 1000) -> DataFrame:
     return each.groupBy("keyword", "block").agg(F.array_sort(F.collect_list("m")).alias("messages"), F.count("*").alias("n"))
 
 
+def expand(messages: DataFrame, queries: DataFrame, k: int = 12, base: int = 5) -> DataFrame:
+    """query_id, conv_id, turn of the messages that a query (query_id, conv_id, text) needs of its conversation: the
+    recent window, and the ``k`` messages that are likest to it by their words, ties in order of turns."""
+    embedded = keyword_embedding(messages.select(F.struct("conv_id", "turn").alias("at"), "text"), "at").select("at.conv_id", "at.turn", F.col("embedding").alias("a"))
+    asked = keyword_embedding(queries.select(F.struct("query_id", "conv_id").alias("at"), "text"), "at").select("at.query_id", "at.conv_id", F.col("embedding").alias("b"))
+    near = embedded.join(asked, "conv_id").select("query_id", "conv_id", "turn", F.round(T.dot("a", "b"), 9).alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "turn")
+    best = near.withColumn("i", F.row_number().over(w)).where(F.col("i") <= k).select("query_id", "conv_id", "turn")
+    recent = recent_window(messages, base).select("conv_id", "turn").join(queries.select("query_id", "conv_id"), "conv_id").select("query_id", "conv_id", "turn")
+    return best.union(recent).distinct()
+
+
 def topic_clusters(messages: DataFrame, table: dict[str, list[str]]) -> DataFrame:
     """topic, n, first three summaries of its messages."""
     each = messages.select("conv_id", "turn", T.first_sentence("text", 180).alias("s"), F.explode(T.topics("text", table)).alias("topic"))

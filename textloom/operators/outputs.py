@@ -7,7 +7,9 @@ Arrow and no shuffle is needed. Sizes of budgets are estimated tokens (see ``fun
 from __future__ import annotations
 
 import json
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -59,41 +61,42 @@ def normal(line: str) -> str:
 def dedup(lines: list[str], threshold: float, form: str) -> list[str]:
     """Lines that equal an earlier one but for numbers, or share ``threshold`` of their words with it, are counted there.
 
-    Of several earlier lines that fit, the latest takes the count. Exact matches come from a table; other candidates
-    share at least one word, so only lines of common words are compared.
+    Of several earlier lines that fit, the latest takes the count. Two sets of words that are so much alike share one of
+    the rarest words of each, as many as may be missing and one more (prefix filter): only lines that do are compared.
     """
-    first: list[str] = []
+    norms = [normal(x) for x in lines]
+    sets = {n: frozenset(n.split()) for n in dict.fromkeys(norms)}
+    often = Counter(w for s in sets.values() for w in s)
+    first: list[int] = []
     count: list[int] = []
-    sets: list[frozenset[str]] = []
     exact: dict[str, int] = {}
     holders: dict[str, list[int]] = {}
     blank = -1
-    for line in lines:
-        norm = normal(line)
-        own = frozenset(norm.split())
+    for i, norm in enumerate(norms):
+        own = sets[norm]
         best = exact.get(norm, -1)
         if not own:
             best = max(best, blank)
-        shared: dict[int, int] = {}
-        for w in own:
-            for b in holders.get(w, ()):
-                shared[b] = shared.get(b, 0) + 1
-        for b, n in shared.items():
-            if b > best and n >= threshold * (len(own) + len(sets[b]) - n):
+        spare = len(own) - math.ceil(threshold * len(own) - 1e-9)
+        head = sorted(own, key=lambda w: (often[w], w))[: spare + 1]
+        for b in sorted({b for w in head for b in holders.get(w, ())}, reverse=True):
+            if b <= best:
+                break
+            n = len(own & sets[norms[first[b]]])
+            if n >= threshold * (len(own) + len(sets[norms[first[b]]]) - n):
                 best = b
         if best >= 0:
             count[best] += 1
             continue
         b = len(first)
-        first.append(line)
+        first.append(i)
         count.append(1)
-        sets.append(own)
         exact[norm] = b
         if not own:
             blank = b
-        for w in own:
+        for w in head:
             holders.setdefault(w, []).append(b)
-    return [x if n == 1 else form.replace("{line}", x).replace("{count}", str(n)) for x, n in zip(first, count, strict=True)]
+    return [lines[i] if n == 1 else form.replace("{line}", lines[i]).replace("{count}", str(n)) for i, n in zip(first, count, strict=True)]
 
 
 def middle(lines: list[str], most: int, form: str) -> list[str]:

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.rules import PRIORITIES, SECTION_TOPICS, TOPIC_SECTIONS
 
+#: Likeness to the query from which a section is taken.
+SEMANTIC_AT = 0.55
+
 _TAG = re.compile(r"<([A-Za-z_][\w-]*)>([^<]*)</([A-Za-z_][\w-]*)>")
 _HEAD = re.compile(r"^##+\s+(.+)$", re.M)
 _NUMBER = re.compile(r"^\s*\d+[.)]\s+(.+)$", re.M)
@@ -78,12 +81,13 @@ def _matches(name: str, pattern: str) -> bool:
 def choose(parts: list[dict], asked: list[str], complexity: str, most: int, least: int = 0) -> list[dict]:
     """Sections of one prompt that a query needs, in the order they are rendered.
 
-    Core sections, those that the query's topics name or share, and what they depend on; over budget the least
+    Core sections, those that the query's topics name or share or whose ``score`` (if they have one) reaches
+    ``SEMANTIC_AT``, and what they depend on; over budget the least
     important of the unmatched go first, then of the matched; under ``least`` others fill up in document order; a
     simple query keeps two sections besides the core; one section that is still too long is cut.
     """
     named = [p for t in asked for p in TOPIC_SECTIONS.get(t, [])]
-    matched = {s["section_id"] for s in parts if any(_matches(n, p) for p in named for n in (s["section_id"], s["name"])) or set(s["topics"]) & set(asked)}
+    matched = {s["section_id"] for s in parts if any(_matches(n, p) for p in named for n in (s["section_id"], s["name"])) or set(s["topics"]) & set(asked) or (s.get("score") or 0) >= SEMANTIC_AT}
     wanted = matched | {s["section_id"] for s in parts if s["priority"] == 0}
     by_id = {s["section_id"]: s for s in parts}
     queue = list(wanted)
@@ -118,9 +122,12 @@ def choose(parts: list[dict], asked: list[str], complexity: str, most: int, leas
     return kept
 
 
-def compress_prompts(prompts: DataFrame, max_tokens: int = 2000, min_tokens: int = 0, headers: bool = True) -> DataFrame:
-    """prompt_id, text, token_count, included, excluded, ratio for prompts (prompt_id, text, query)."""
-    parts = sections(prompts.select("prompt_id", "text")).groupBy("prompt_id").agg(F.array_sort(F.collect_list(F.struct("pos", "section_id", "name", "content", "tokens", "topics", "priority", "needs"))).alias("parts"))
+def compress_prompts(prompts: DataFrame, max_tokens: int = 2000, min_tokens: int = 0, headers: bool = True, scores: DataFrame | None = None) -> DataFrame:
+    """prompt_id, text, token_count, included, excluded, ratio for prompts (prompt_id, text, query). ``scores``
+    (prompt_id, section_id, score; see ``retrieval.section_scores``) bring in sections that are like the query."""
+    cut = sections(prompts.select("prompt_id", "text"))
+    cut = cut.withColumn("score", F.lit(None).cast("double")) if scores is None else cut.join(scores, ["prompt_id", "section_id"], "left")
+    parts = cut.groupBy("prompt_id").agg(F.array_sort(F.collect_list(F.struct("pos", "section_id", "name", "content", "tokens", "topics", "priority", "needs", "score"))).alias("parts"))
     both = parts.join(query_topics(prompts.select("prompt_id", F.coalesce("query", F.lit("")).alias("query"))), "prompt_id").select("prompt_id", "parts", "asked", "complexity")
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import asking
 from ..functions import text as T
-from ..functions.rules import ASKING_STOP, FILTERS, HIT_STOP
-from ..operators import deltas, graph, outputs
+from ..functions.rules import ASKING_STOP, FILTERS, HIT_STOP, SECTION_TOPICS
+from ..operators import code, deltas, graph, memory, outputs, prompts, retrieval
 
 #: Commands that parts stand for, in turn.
 COMMANDS = ["git status", "git push origin", "git log -n 5", "git diff HEAD", "cargo test", "pytest -q", "python -m pytest", "npm test", "go test ./...", "ls -la", "tree src", "grep -rn x", "find . -name", "docker ps", "docker logs web", "npm install", "pip install", "terraform plan", "kubectl get pods", "kubectl describe pod", "curl -v http://a", "curl http://a", "make all", "git status | head", "cat <<EOF", "textloom exec -- ls", " rg foo", "aws s3 ls"]
@@ -114,7 +114,60 @@ def halved_parts(spark: SparkSession, sf: str) -> DataFrame:
     return graph.closure(edges, p.where("p_partkey % 50 = 0").select(F.col("p_partkey").cast("long").alias("node")))
 
 
-QUERIES = {f.__name__: f for f in (command_routes, dated_phrases, text_fields, asked_entities, delta_reads, delta_writes, merged_facts, merged_entities, best_facts, halved_parts)}
+def edited_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Three edits of each part's lines, and an anchor that isn't there for every third part."""
+    p = _t(spark, sf, "part")
+    content = F.concat(F.lit("name: "), "p_name", F.lit("\nstruct Size {\n  "), F.col("p_size").cast("string"), F.lit("\n}\nend\n"))
+    one = lambda kind, anchor, text: F.struct(F.lit(kind).alias("kind"), anchor.alias("anchor"), F.lit(text).alias("text"))
+    edits = F.array(one("insert_before", F.lit("lines 1-1"), "top"), one("replace", F.lit("symbol struct Size"), "size"), one("insert_after", F.when(F.col("p_partkey") % 3 == 0, "no such line").otherwise("end"), "a\nb"))
+    done = deltas.apply_edits(p.select(F.col("p_partkey").cast("string").alias("path"), content.alias("content"), edits.alias("edits")))
+    return done.select("path", "content", F.coalesce("error", F.lit("")).alias("error"))
+
+
+def _sources(spark: SparkSession, sf: str) -> DataFrame:
+    """A Python file a supplier, which uses the Rust file of its nation and the file of the supplier before."""
+    s, n = _t(spark, sf, "supplier"), _t(spark, sf, "nation")
+    key, nation = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    text = F.concat(F.lit("class Supplier"), key, F.lit(":\n    def of_"), key, F.lit("(self):\n        return Nation"), nation, F.lit("\n\ndef total_"), key, F.lit("():\n    return Supplier"), (F.col("s_suppkey") - 1).cast("string"), F.lit("()\n"))
+    own = F.col("n_nationkey").cast("string")
+    rust = F.concat(F.lit("pub struct Nation"), own, F.lit(" {\n}\npub fn region_"), own, F.lit("() {}\nenum Kind"), own, F.lit(" {}\n"))
+    return s.select(F.concat(F.lit("s"), key, F.lit(".py")).alias("path"), text.alias("content")).union(n.select(F.concat(F.lit("n"), own, F.lit(".rs")), rust))
+
+
+def code_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    return code.symbols(_sources(spark, sf)).select("path", "line", "kind", "name")
+
+
+def code_references(spark: SparkSession, sf: str) -> DataFrame:
+    files = _sources(spark, sf)
+    return code.references(files, code.symbols(files))
+
+
+def _prompts(spark: SparkSession, sf: str) -> DataFrame:
+    p = _t(spark, sf, "part")
+    text = F.concat(F.lit("intro\n## Core Rules\nYou must sell "), "p_name", F.lit(".\n## Output-Format "), F.col("p_size").cast("string"), F.lit("\ndepends_on: Core Rules\nIn "), "p_type", F.lit("\n## Core Rules\nagain"))
+    return p.select(F.col("p_partkey").alias("prompt_id"), text.alias("text"))
+
+
+def prompt_sections(spark: SparkSession, sf: str) -> DataFrame:
+    x = prompts.sections(_prompts(spark, sf))
+    return x.select("prompt_id", "pos", "section_id", "name", "content", F.col("tokens").cast("long").alias("tokens"), F.array_join("topics", ",").alias("topics"), "priority", F.array_join("needs", ",").alias("needs"))
+
+
+def keyword_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The cells of each message's embedding by keywords that aren't 0."""
+    x = retrieval.keyword_embedding(_t(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("at"), "text"), "at")
+    cells = F.filter(F.transform("embedding", lambda v, i: F.struct(i.alias("i"), F.round(v, 6).alias("v"))), lambda c: c["v"] > 0)
+    return x.select("at.conv_id", "at.turn", F.explode(cells).alias("c")).select("conv_id", "turn", F.col("c.i").alias("cell"), F.col("c.v").alias("weight"))
+
+
+def expanded_memory(spark: SparkSession, sf: str) -> DataFrame:
+    """What the first turns of conversations whose id divides by 50 need of their conversation."""
+    c = _t(spark, sf, "conversations")
+    return memory.expand(c, c.where("conv_id % 50 = 0 and turn = 0").select(F.col("conv_id").alias("query_id"), "conv_id", "text"), k=2, base=1)
+
+
+QUERIES = {f.__name__: f for f in (edited_parts, code_symbols, code_references, prompt_sections, keyword_vectors, expanded_memory, command_routes, dated_phrases, text_fields, asked_entities, delta_reads, delta_writes, merged_facts, merged_entities, best_facts, halved_parts)}
 
 
 def _quoted(values: list[str]) -> str:
@@ -154,7 +207,31 @@ union all select lower(n_name), 'lies_in', r_name, 'entity', 0.7, 'map', n_natio
 x as (select *, lower(trim(subject, ' ')) as s, case when object_kind = 'entity' then lower(trim(object, ' ')) else trim(object, ' ') end as o from t),
 f as (select substr(sha256(s || '|' || p || '|' || object_kind || ':' || lower(trim(o, ' '))), 1, 16) as fact_id, s, p, min_by(o, ts) as o, object_kind, max(confidence) as confidence, array_to_string(list_sort(list_distinct(list(source))), ',') as sources, min(ts) as first_ts, max(ts) as last_ts from x group by fact_id, s, p, object_kind)"""
 
+#: Cells of each message, and each message's vector: kw(conv_id, turn, cell, weight).
+_CELLS = rf"""w as (select conv_id, turn, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) as word from conversations),
+d as (select word, (list_reduce(list_concat([0::hugeint], list_transform(range(1, strlen(word) + 1), lambda i: ('0x' || substr(hex(word), (2 * i - 1)::bigint, 2))::hugeint)), lambda h, b: (h * {retrieval.HASH_FACTOR}::hugeint + b + {retrieval.HASH_OFFSET}::hugeint) % 18446744073709551616::hugeint) % {retrieval.KEYWORD_DIMS})::int as cell from (select distinct word from w)),
+n as (select conv_id, turn, cell, count(*) as c from w join d using (word) group by all),
+kw as (select conv_id, turn, cell, c / sqrt(sum(c * c) over (partition by conv_id, turn))::double as weight from n)"""
+
+
+def _section_topics(c: str) -> str:
+    parts = ", ".join(f"case when {' or '.join(f"contains(lower({c}), '{k}')" for k in words)} then '{t}' end" for t, words in SECTION_TOPICS.items())
+    return f"coalesce(nullif(array_to_string(list_sort(list_filter([{parts}], lambda x: x is not null)), ','), ''), 'general')"
+
+
 SQL = {
+    "edited_parts": r"""select p_partkey::varchar as path, case when p_partkey % 3 = 0 then E'name: ' || p_name || E'\nstruct Size {\n  ' || p_size || E'\n}\nend\n' else E'top\nname: ' || p_name || E'\nsize\nend\na\nb\n' end as content, case when p_partkey % 3 = 0 then 'anchor not found' else '' end as error from part""",
+    "code_symbols": "select 's' || s_suppkey || '.py' as path, line::int as line, kind, name || s_suppkey as name from supplier, (values (1, 'class', 'Supplier'), (2, 'method', 'of_'), (5, 'function', 'total_')) as v(line, kind, name) union all select 'n' || n_nationkey || '.rs', line, kind, name || n_nationkey from nation, (values (1, 'struct', 'Nation'), (3, 'function', 'region_'), (4, 'enum', 'Kind')) as v(line, kind, name)",
+    "code_references": "select 's' || s_suppkey || '.py' as src, 'n' || s_nationkey || '.rs' as dst from supplier union select 's' || a.s_suppkey || '.py', 's' || b.s_suppkey || '.py' from supplier a join supplier b on b.s_suppkey = a.s_suppkey - 1",
+    "prompt_sections": f"""with s as (select p_partkey::bigint as prompt_id, 0 as pos, 'core_rules' as section_id, 'Core Rules' as name, 'You must sell ' || p_name || '.' as content, 0 as priority, '' as needs from part
+union all select p_partkey, 1, 'output_format_' || p_size, 'Output-Format ' || p_size, E'depends_on: Core Rules\\nIn ' || p_type, 2, 'core_rules' from part union all select p_partkey, 2, 'core_rules_2', 'Core Rules', 'again', 0, '' from part)
+select prompt_id, pos::int as pos, section_id, name, content, {_TOKENS.format('content')}::bigint as tokens, {_section_topics('content')} as topics, priority::int as priority, needs from s""",
+    "keyword_vectors": f"with {_CELLS} select conv_id, turn, cell, round(weight, 6) as weight from kw",
+    "expanded_memory": f"""with {_CELLS}, q as (select conv_id, cell, weight from kw where conv_id % 50 = 0 and turn = 0),
+s as (select m.conv_id, m.turn, round(coalesce(sum(kw.weight * q.weight), 0), 9) as score from (select conv_id, turn from conversations where conv_id in (select conv_id from conversations where conv_id % 50 = 0 and turn = 0)) m left join kw using (conv_id, turn) left join q on q.conv_id = kw.conv_id and q.cell = kw.cell group by all),
+b as (select conv_id, turn from (select *, row_number() over (partition by conv_id order by score desc, turn) as i from s) where i <= 2),
+r as (select conv_id, turn from (select conv_id, turn, count(*) over (partition by conv_id) as n, row_number() over (partition by conv_id order by turn desc) as back from conversations) where back <= greatest(1, floor(log2(n))) and conv_id in (select conv_id from s))
+select conv_id as query_id, conv_id, turn from (select * from b union select * from r)""",
     "command_routes": f"""with c as (select p_partkey, {_quoted(COMMANDS)}[p_partkey % {len(COMMANDS)} + 1] || ' ' || p_partkey as c from part),
 w as (select *, case when starts_with(trim(c, ' '), 'textloom') or contains(c, '<<') or contains(c, '|') or contains(c, '&&') then null else {_first(asking.WRAPPED, "trim(c, ' ')", "null")} end as rule from c)
 select p_partkey, {_first(_FILTERS, 'c', "''")} as filter, {_first(asking.FAMILIES, 'c', "'generic'")} as family, rule, case when rule is null then c else 'textloom exec -- ' || trim(c, ' ') end as wrapped from w""",
