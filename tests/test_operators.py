@@ -280,6 +280,8 @@ def test_scan_and_store(spark, tmp_path):
     files.insert(spark, store, rows.where("id = 'a'").limit(1), "id", schema)
     files.insert(spark, store, rows, "id", schema)
     assert sorted(r.id for r in files.read_store(spark, store, schema).collect()) == ["a", "b"]
+    files.clear(spark, store)
+    assert files.insert(spark, store, rows, "id", schema).count() == 2
 
 
 def test_hooks(spark):

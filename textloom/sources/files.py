@@ -7,6 +7,7 @@ import re
 import subprocess
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,13 +84,19 @@ def insert(spark: SparkSession, path: str, rows: DataFrame, key: str, schema: st
     fresh = rows.dropDuplicates([key])
     try:
         fresh = fresh.join(read_store(spark, path, schema).select(key), key, "left_anti")
-    except Exception as e:  # a store that doesn't exist yet
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # a store that doesn't exist yet
             raise
     fresh.write.mode("append").json(path)
     return fresh
 
 
+def clear(spark: SparkSession, path: str) -> None:
+    """Empties a store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def retained(outputs: DataFrame, by: str, newest: str, keep: int) -> DataFrame:
     """The newest ``keep`` raw outputs of each key; of equally new ones those with the least hash."""
     w = Window.partitionBy(by).orderBy(F.col(newest).desc(), F.xxhash64(*outputs.columns))

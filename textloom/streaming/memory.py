@@ -15,7 +15,9 @@ from ..functions import text as T
 THRESHOLD, FLOOR = 50, 10
 
 _SUMMARY = "conv_id bigint, summary string, summarised_until bigint, waiting bigint, seen bigint"
-_STATE = "texts array<string>, turns array<bigint>, roles array<string>, summary string, until bigint"
+_STATE = "asked array<string>, said array<string>, roles array<string>, texts array<string>, turns array<bigint>, summary string, until bigint"
+#: First sentences of each kind that a summary has.
+MOST = 6
 
 
 def _sentence(text: str) -> str:
@@ -25,44 +27,47 @@ def _sentence(text: str) -> str:
     return text.strip()[:200]
 
 
-def summarise(roles: list[str], texts: list[str]) -> str:
-    """First sentences of the first six user questions and assistant turns."""
-    asked = [_sentence(t) for r, t in zip(roles, texts, strict=True) if r == "user" and "?" in t][:6]
-    said = [_sentence(t) for r, t in zip(roles, texts, strict=True) if r == "assistant"][:6]
-    out = [f"{lead}: {'; '.join(x)}." for lead, x in (("User asked about", asked), ("Assistant responses covered", said)) if x]
-    return " ".join(out) or "Conversation contains mixed discussion with no clear dominant thread."
+class Summary:
+    """A conversation's summary, and the messages that wait to go into it. Of what is summarised only the sentences that
+    summaries show are kept, so the state doesn't hold a conversation's texts."""
 
+    def __init__(self, asked=(), said=(), roles=(), texts=(), summary="", until=0) -> None:
+        self.asked, self.said, self.roles, self.texts, self.summary, self.until = list(asked), list(said), list(roles), list(texts), summary, until
 
-def _refresh(roles: list[str], texts: list[str], summary: str, until: int, threshold: int, recent: int) -> tuple[str, int]:
-    """The summary after the messages so far: drawn up anew once more than ``threshold`` wait, over all but the last few."""
-    if len(texts) - until >= threshold:
-        to = max(len(texts) - max(2 * recent, 8), 0)
-        if to > until:
-            return summarise(roles[:to], texts[:to]), to
-    return summary, until
+    def add(self, role: str, text: str, threshold: int, recent: int) -> None:
+        """Takes a message in. Once ``threshold`` wait, all but the last few go into the summary."""
+        self.roles.append(role)
+        self.texts.append(text)
+        go = len(self.texts) - max(2 * recent, 8)
+        if len(self.texts) >= threshold and go > 0:
+            for r, t in zip(self.roles[:go], self.texts[:go], strict=True):
+                kind = self.asked if r == "user" and "?" in t else self.said if r == "assistant" else None
+                if kind is not None and len(kind) < MOST:
+                    kind.append(_sentence(t))
+            del self.roles[:go], self.texts[:go]
+            self.until += go
+            parts = [f"{lead}: {'; '.join(x)}." for lead, x in (("User asked about", self.asked), ("Assistant responses covered", self.said)) if x]
+            self.summary = " ".join(parts) or "Conversation contains mixed discussion with no clear dominant thread."
 
 
 def rolling_summary(messages: DataFrame, threshold: int = THRESHOLD, recent: int = 5, floor: int = FLOOR) -> DataFrame:
     """Streaming: one row a conversation and batch that touches it. Messages are (conv_id, turn, role, text).
 
-    State holds a conversation's own messages. Turns that come twice count once, so a replay changes nothing. The
-    result equals ``rolling_summary_batch`` if each conversation's turns come in order, however they are cut.
+    State holds a conversation's waiting messages, the numbers of its turns, and what its summary shows. Turns that come
+    twice count once, so a replay changes nothing. The result equals ``rolling_summary_batch`` if each conversation's
+    turns come in order, however they are cut.
     """
     limit = max(threshold, floor)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        texts, turns, roles, summary, until = state.get if state.exists else ([], [], [], "", 0)
-        texts, turns, roles = list(texts), list(turns), list(roles)
-        known = set(turns)
+        asked, said, roles, texts, turns, summary, until = state.get if state.exists else ([], [], [], [], [], "", 0)
+        now, known = Summary(asked, said, roles, texts, summary, until), set(turns)
         for r in pd.concat(list(parts)).sort_values("turn").itertuples():
             if r.turn not in known:
-                known.add(r.turn)
-                texts.append(r.text or "")
-                turns.append(int(r.turn))
-                roles.append(r.role or "user")
-                summary, until = _refresh(roles, texts, summary, until, limit, recent)
-        state.update((texts, turns, roles, summary, until))
-        yield pd.DataFrame([(key[0], summary, until, len(texts) - until, len(texts))], columns=["conv_id", "summary", "summarised_until", "waiting", "seen"])
+                known.add(int(r.turn))
+                now.add(r.role or "user", r.text or "", limit, recent)
+        state.update((now.asked, now.said, now.roles, now.texts, sorted(map(int, known)), now.summary, now.until))
+        yield pd.DataFrame([(key[0], now.summary, now.until, len(now.texts), len(known))], columns=["conv_id", "summary", "summarised_until", "waiting", "seen"])
 
     rows = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), T.role("role").alias("role"), "text")
     return rows.groupBy("conv_id").applyInPandasWithState(step, _SUMMARY, _STATE, "update", GroupStateTimeout.NoTimeout)
@@ -74,12 +79,10 @@ def rolling_summary_batch(messages: DataFrame, threshold: int = THRESHOLD, recen
 
     def whole(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         p = p.drop_duplicates("turn").sort_values("turn")
-        roles, texts, summary, until = [], [], "", 0
+        now = Summary()
         for r in p.itertuples():
-            roles.append(r.role or "user")
-            texts.append(r.text or "")
-            summary, until = _refresh(roles, texts, summary, until, limit, recent)
-        return pd.DataFrame([(key[0], summary, until, len(texts) - until, len(texts))], columns=["conv_id", "summary", "summarised_until", "waiting", "seen"])
+            now.add(r.role or "user", r.text or "", limit, recent)
+        return pd.DataFrame([(key[0], now.summary, now.until, len(now.texts), len(p))], columns=["conv_id", "summary", "summarised_until", "waiting", "seen"])
 
     rows = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), T.role("role").alias("role"), "text")
     return rows.groupBy("conv_id").applyInPandas(whole, _SUMMARY)
